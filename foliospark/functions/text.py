@@ -54,8 +54,8 @@ def newlines_to_spaces(c: Column) -> Column:
     return F.translate(c, "\n", " ")
 
 
-def _spo(t: Column, joiner: str = " ") -> Column:
-    return F.concat_ws(joiner, t["s"], t["r"], t["o"])
+def _spo(t: Column) -> Column:
+    return F.concat_ws(" ", t["s"], t["r"], t["o"])
 
 
 def triples_text(triples: Column, sep: str = " ; ") -> Column:
