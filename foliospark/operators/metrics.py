@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.vectors import argmax
-from foliospark.operators.shared import running_total, small_side
+from foliospark.operators.shared import running, small_side
 
 TILE_ROWS = 2048
 
@@ -222,7 +222,7 @@ def roc_auc_macro(df: DataFrame, num_labels: int, y: str = "y", scores: str = "s
     points = df.select(F.col(y).alias("_y"), F.posexplode(scores).alias("label", "score")).groupBy("label", "score").agg(
         F.sum((F.col("_y") == F.col("label")).cast("long")).alias("pos"), F.count("*").alias("n")
     ).withColumn("neg", F.col("n") - F.col("pos"))
-    ranked = running_total(points, ["label"], ["score"], {"upto": "neg"})
+    ranked = running(points, ["label"], ["score"], {"upto": "neg"})
     wins = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     per_class = ranked.groupBy("label").agg(_safe(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
     complete = (F.count("auc") == num_labels) & F.lit(num_labels > 2)

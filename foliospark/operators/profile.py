@@ -12,7 +12,8 @@ PERCENTILES = (5, 25, 50, 75, 95)
 
 def category_tokens(df: DataFrame, col: str = "categories") -> DataFrame:
     """One row per category token, with the token and its top level."""
-    words = df.select(F.explode(T.word_list(F.col(col))).alias("subcategory"))
+    # explode() would add a size filter below the projection and split every string twice
+    words = df.select(F.explode_outer(T.word_list(F.col(col))).alias("subcategory")).where("subcategory is not null")
     return words.withColumn("top_category", T.before_dot(F.col("subcategory")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.config import TEXT_MODES
 from foliospark.functions import text as T
-from foliospark.operators.shared import hash_bucket, hash_key, materialise, running_total, small_side
+from foliospark.operators.shared import hash_bucket, hash_key, materialise, running, small_side
 
 
 def shuffle(df: DataFrame, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -86,7 +86,7 @@ def rare_count(df: DataFrame, col: str, min_size: int = 2) -> DataFrame:
 def label_map(df: DataFrame, col: str, out: str) -> DataFrame:
     """Distinct labels in ascending order, numbered from 0."""
     labels = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    return running_total(labels, [], [col], {"_n": "_one"}).select(col, (F.col("_n") - 1).cast("int").alias(out))
+    return running(labels, [], [col], {"_n": "_one"}).select(col, (F.col("_n") - 1).cast("int").alias(out))
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

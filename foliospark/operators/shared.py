@@ -51,11 +51,12 @@ def hash_bucket(key: Column) -> Column:
     return F.substring(key, 1, 4)
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
-    """Add inclusive running sums ``{new column: summed column}`` per ``keys`` in ``order``.
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None,
+            maxima: dict[str, str] | None = None) -> DataFrame:
+    """Add inclusive running sums and maxima ``{new column: source column}`` per ``keys`` in ``order``.
 
     The rows are range-partitioned over keys *and* order, so one key may spread over many tasks; each
-    task sums its own range, and per-range totals (one row per range and key) give the offsets.
+    task scans its own range, and per-range totals (one row per range and key) carry over.
     """
     part = "_range"
     ranged = materialise(
@@ -63,13 +64,16 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], values: dict
     )
     inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.select("*", *[F.sum(src).over(inside).alias(f"_in_{new}") for new, src in values.items()])
-    offsets = (
+    scans = [(new, src, F.sum) for new, src in (sums or {}).items()] + [(new, src, F.max) for new, src in (maxima or {}).items()]
+    local = ranged.select("*", *[fn(src).over(inside).alias(f"_in_{new}") for new, src, fn in scans])
+    carried = (
         ranged.groupBy(part, *keys)
-        .agg(*[F.sum(src).alias(f"_t_{new}") for new, src in values.items()])
-        .select(part, *keys, *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_off_{new}") for new in values])
-    )
-    joined = sums.join(offsets, [part, *keys])
-    return joined.select(
-        *df.columns, *[(F.col(f"_in_{new}") + F.col(f"_off_{new}")).alias(new) for new in values]
+        .agg(*[fn(src).alias(f"_t_{new}") for new, src, fn in scans])
+        .select(part, *keys, *[fn(f"_t_{new}").over(before).alias(f"_off_{new}") for new, _, fn in scans])
     )
+    merged = [
+        (F.col(f"_in_{new}") + F.coalesce(F.col(f"_off_{new}"), F.lit(0)) if fn is F.sum
+         else F.greatest(f"_in_{new}", f"_off_{new}")).alias(new)
+        for new, _, fn in scans
+    ]
+    return local.join(carried, [part, *keys]).select(*df.columns, *merged)

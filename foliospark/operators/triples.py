@@ -9,7 +9,7 @@ to the head's key and one grouping gathers it. All groupings share the hash part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -37,7 +37,7 @@ def token_phrases(tokens: DataFrame) -> DataFrame:
         F.when(left | right, F.struct(F.col("head_id").alias("to"), me.alias("part"), F.lit(None).cast(tokens.select(row).schema[0].dataType).alias("row"))),
     )
     gathered = (
-        by_document(tokens).select("doc_id", F.explode(F.array_compact(sends)).alias("s"))
+        by_document(tokens).select("doc_id", F.explode_outer(sends).alias("s")).where("s is not null")
         .groupBy("doc_id", F.col("s.to").alias("tok_id"))
         .agg(F.sort_array(F.collect_list("s.part")).alias("parts"), F.max("s.row").alias("row"))
         .where("row is not null")
@@ -46,10 +46,6 @@ def token_phrases(tokens: DataFrame) -> DataFrame:
     return gathered.select("doc_id", "tok_id", "row.*", phrase.alias("phrase"))
 
 
-def _if(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
 def verb_arguments(tokens: DataFrame) -> DataFrame:
     """One row per verb: ``subj`` (last subject child), ``obj`` (last object child, else the first
     object of the last preposition that has one), ``relation`` (lower-case lemma)."""
@@ -60,9 +56,9 @@ def verb_arguments(tokens: DataFrame) -> DataFrame:
     report = F.when(noun & (F.col("head_id") != F.col("tok_id")), F.struct(
         F.col("head_id").alias("to"),
         F.lit(None).cast("struct<sent_id:int,head_id:long,lemma:string,pos:string,dep:string>").alias("row"),
-        _if(F.col("dep").isin(*SUBJECTS), placed).alias("subj"),
-        _if(F.col("dep").isin(*OBJECTS), placed).alias("obj"),
-        _if(F.col("dep") == "pobj", placed).alias("pobj"),
+        F.when(F.col("dep").isin(*SUBJECTS), placed).alias("subj"),
+        F.when(F.col("dep").isin(*OBJECTS), placed).alias("obj"),
+        F.when(F.col("dep") == "pobj", placed).alias("pobj"),
     ))
     own_row = F.struct(
         F.col("sent_id").cast("int"), F.col("head_id").cast("long"), "lemma", "pos", "dep"
@@ -72,7 +68,7 @@ def verb_arguments(tokens: DataFrame) -> DataFrame:
         F.col("tok_id").alias("to"), own_row.alias("row"), nothing.alias("subj"), nothing.alias("obj"), nothing.alias("pobj"),
     ))
     heads = (
-        phrases.select("doc_id", F.explode(F.array_compact(F.array(keep, report))).alias("s"))
+        phrases.select("doc_id", F.explode_outer(F.array(keep, report)).alias("s")).where("s is not null")
         .groupBy("doc_id", F.col("s.to").alias("tok_id"))
         .agg(F.max("s.row").alias("row"), F.max("s.subj").alias("subj"), F.max("s.obj").alias("obj"), F.min("s.pobj").alias("pobj"))
         .where("row is not null")
@@ -89,7 +85,7 @@ def verb_arguments(tokens: DataFrame) -> DataFrame:
         F.struct(F.col("tok_id").cast("long").alias("tok_id"), F.col("pobj").alias("phrase")).alias("by_prep"),
     ))
     return (
-        heads.select("doc_id", F.explode(F.array_compact(F.array(verb, prep))).alias("s"))
+        heads.select("doc_id", F.explode_outer(F.array(verb, prep)).alias("s")).where("s is not null")
         .groupBy("doc_id", F.col("s.to").alias("tok_id"))
         .agg(F.max("s.verb").alias("verb"), F.max("s.by_prep").alias("by_prep"))
         .where("verb is not null")
@@ -113,7 +109,7 @@ def graph_nodes(arguments: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("label").alias("type"),
     )
     used = arguments.select(
-        "doc_id", F.explode(F.array(F.struct(F.col("subj").alias("node"), F.lit(0).alias("side")), F.struct(F.col("obj").alias("node"), F.lit(1).alias("side")))).alias("a"), "tok_id"
+        "doc_id", F.explode_outer(F.array(F.struct(F.col("subj").alias("node"), F.lit(0).alias("side")), F.struct(F.col("obj").alias("node"), F.lit(1).alias("side")))).alias("a"), "tok_id"
     ).where("a.node is not null").select(
         "doc_id", "a.node", F.struct(F.lit(1).alias("stage"), F.col("tok_id").cast("long").alias("at"), F.col("a.side").alias("side")).alias("ord"), F.lit("ARG").alias("type"),
     )

@@ -72,7 +72,7 @@ def _(spark, sf_dir):
 
 @query("triple_sentence", f"WITH {_GRAPHS}, x AS (SELECT doc_id, unnest(spo) AS spo FROM p) SELECT doc_id, replace(concat(spo, '.'), '_', ' ') AS value FROM x")
 def _(spark, sf_dir):
-    return _graphs(spark, sf_dir).select("doc_id", F.explode("triples").alias("t")).select("doc_id", T.triple_sentence(F.col("t")).alias("value"))
+    return _graphs(spark, sf_dir).select("doc_id", F.explode_outer("triples").alias("t")).where("t is not null").select("doc_id", T.triple_sentence(F.col("t")).alias("value"))
 
 
 @query("graph_prose", f"""
