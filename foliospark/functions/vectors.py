@@ -11,9 +11,14 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    """Unit length; an all-zero row stays as it is."""
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    """Unit length; an all-zero row stays as it is.
+
+    The norm is bound by the outer transform, so it is worked out once per row, not per element.
+    """
+    scaled = F.transform(
+        F.array(l2_norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def concat_views(*views: Column) -> Column:

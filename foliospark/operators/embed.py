@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Word2Vec
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -82,8 +82,7 @@ class FittedEncoder:
     def _encode(self, df: DataFrame, view: str) -> DataFrame:
         tokens = ENCODERS[self.name][0]
         texts = _view_text(df, view).select("doc_id", tokens(F.col("text")).alias("tokens"))
-        unit = l2_normalise(vector_to_array("vector"))
-        return self.views[view].transform(texts).select("doc_id", unit.alias(view))
+        return self.views[view].transform(texts).select("doc_id", vector_to_array("unit").alias(view))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``doc_id, embedding array<float>``, unit length (all-zero rows stay zero)."""
@@ -101,7 +100,7 @@ def fit_encoder(df: DataFrame, name: str, mode: str, seed: int = 42) -> FittedEn
     models = {}
     for view in views_of(df, mode):
         texts = _view_text(df, view).select("doc_id", tokens(F.col("text")).alias("tokens"))
-        models[view] = Pipeline(stages=stages(seed)).fit(texts)
+        models[view] = Pipeline(stages=[*stages(seed), Normalizer(p=2.0, inputCol="vector", outputCol="unit")]).fit(texts)
     return FittedEncoder(name, mode, models)
 
 

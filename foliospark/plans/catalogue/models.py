@@ -1 +1,121 @@
-"""To come."""
+"""Model fits over whole tables; checked by rows and properties, as no SQL can fit them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliospark.config import PipelineConfig
+from foliospark.functions import text as T
+from foliospark.operators import classify as K
+from foliospark.operators import cluster as C
+from foliospark.operators import embed as E
+from foliospark.operators import profile as P
+from foliospark.operators.density import fit_density
+from foliospark.operators.sampling import label_encode
+from foliospark.plans.catalogue.registry import clean_papers, query, sql_words, table
+from foliospark.plans.catalogue.vectors import embeddings
+
+
+def _encoder(name):
+    @query(f"encoder_{name}")
+    def _(spark, sf_dir):
+        docs = clean_papers(spark, sf_dir)
+        return E.fit_encoder(docs, name, "abstract").transform(docs)
+
+
+for _name in E.ENCODERS:
+    _encoder(_name)
+
+
+def _clustered(spark, sf_dir, algorithm, k=8):
+    e = embeddings(spark, sf_dir)
+    rows = C.prepared(e)
+    return C.FITS[algorithm](rows, k).transform(rows)
+
+
+@query("kmeans")
+def _(spark, sf_dir):
+    return _clustered(spark, sf_dir, "KMeans").select("doc_id", "cluster_id")
+
+
+@query("gaussian_mixture")
+def _(spark, sf_dir):
+    return _clustered(spark, sf_dir, "GMM").select("doc_id", "cluster_id")
+
+
+@query("cluster_mix_kmeans")
+def _(spark, sf_dir):
+    """Flagship: category mix per KMeans cluster of hashed TF-IDF vectors."""
+    docs = clean_papers(spark, sf_dir).withColumn("top_category", T.top_category(F.col("categories")))
+    vectors = E.fit_encoder(docs, "tfidf_hash", "abstract").transform(docs).join(docs.select("doc_id", "top_category"), "doc_id")
+    rows = C.prepared(vectors).persist()
+    return P.cluster_mix(C.fit_kmeans(rows, 8).transform(rows))
+
+
+@query("k_sweep")
+def _(spark, sf_dir):
+    found = C.k_sweep(embeddings(spark, sf_dir), [2, 4, 6, 8, 10], "label")
+    return found.select("algorithm", "k", "clusters", "ari", "nmi", "silhouette", "silhouette_kind", "error")
+
+
+@query("density_clusters")
+def _(spark, sf_dir):
+    model = fit_density(embeddings(spark, sf_dir), (5,))[5]
+    return model.labels()
+
+
+@query("density_size_sweep")
+def _(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    rows, _ = C.density_rows(e, "label", PipelineConfig().min_cluster_sizes)
+    return C.result_rows(spark, rows).select("algorithm", "min_cluster_size", "clusters", "noise", "noise_frac", "ari", "nmi", "composite")
+
+
+@query("density_assign")
+def _(spark, sf_dir):
+    """Fit on the vectors and place their mirror images."""
+    e = embeddings(spark, sf_dir)
+    model = fit_density(e, (5,))[5]
+    return model.assign(e.select("doc_id", F.reverse("embedding").alias("embedding")))
+
+
+@query("fit_and_assign")
+def _(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    fitted = C.fit_final(e, {"algorithm": "KMeans", "k": 6})
+    return fitted.transform(e.select("doc_id", F.reverse("embedding").alias("embedding"))).select("doc_id", "cluster_id")
+
+
+def _labelled(spark, sf_dir):
+    docs = clean_papers(spark, sf_dir).withColumn("lang", T.top_category(F.col("categories")))
+    return label_encode(docs, "lang")
+
+
+@query("train_and_score")
+def _(spark, sf_dir):
+    docs = _labelled(spark, sf_dir)
+    texts = docs.select("doc_id", F.col("clean").alias("text"), F.col("lang_enc").cast("double").alias("y"))
+    marked = K.stratified_split(texts, "y").persist()
+    model = K.fit_features(marked.where("split = 'train'"))
+    train, val = (K.with_features(marked.where(f"split = '{s}'"), model) for s in ("train", "val"))
+    return K.train_eval(train.persist(), val, K.Trial(0, "logistic", 0.01, 16, 2), 4)
+
+
+@query("hyperparameter_search")
+def _(spark, sf_dir):
+    return K.search(_labelled(spark, sf_dir), "abstract", "lang_enc", n_trials=6)
+
+
+@query("encode_ids", f"""
+WITH w AS (SELECT doc_id, {sql_words('lower(text)')} AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+n AS (SELECT word, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, word LIMIT 5000),
+v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS token_id FROM n),
+i AS (SELECT doc_id, list(token_id ORDER BY place)[1:128] AS ids FROM x JOIN v USING (word) GROUP BY 1),
+a AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN i ON d.doc_id = i.doc_id)
+SELECT doc_id, array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN ids[k + 1]::INT ELSE 0 END), ',') AS input_ids,
+  array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask FROM a""")
+def _(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = K.encode_ids(texts, K.vocabulary(texts, 5000))
+    return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
