@@ -156,24 +156,22 @@ def trial_log(trials: DataFrame, params: tuple[str, ...] = ("model_name", "lr",
 
 
 def vocabulary(texts: DataFrame, size: int = 30_000) -> DataFrame:
-    """``word, token_id`` of the most frequent words, from 1; 0 is padding."""
+    """``word, token_id`` of the most frequent words, from 2; 0 is padding and 1 an unknown word."""
     words = texts.select(F.explode_outer(T.word_list(F.lower("text"))).alias("word")).where("word is not null")
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
     # one window over at most `size` rows
-    return top.select("word", F.row_number().over(Window.orderBy(F.desc("count"), "word")).alias("token_id"))
+    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("count"), "word")) + 1).alias("token_id"))
 
 
 def encode_ids(texts: DataFrame, vocab: DataFrame, max_len: int = MAX_TOKENS) -> DataFrame:
-    """``doc_id, input_ids, attention_mask``: fixed length, cut and padded; unknown words are left out."""
-    words = T.word_list(F.lower("text"))
-    placed = texts.select("doc_id", F.posexplode_outer(words).alias("place", "word")).where("word is not null")
-    known = placed.join(small_side(vocab, 100_000), "word")
-    ids = known.groupBy("doc_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "token_id"))), lambda x: x["token_id"]).alias("ids")
-    )
-    cut = F.coalesce(F.slice("ids", 1, max_len), F.array().cast("array<int>"))
-    missing = F.lit(max_len) - F.size(cut)
-    return texts.select("doc_id").join(ids, "doc_id", "left").select(
-        "doc_id", F.concat(cut, F.array_repeat(F.lit(0), missing)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size(cut)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
+    """``doc_id, input_ids, attention_mask``: the first ``max_len`` words as ids, padded to that length."""
+    words = F.slice(T.word_list(F.lower("text")), 1, max_len)
+    placed = texts.select("doc_id", F.posexplode_outer(words).alias("place", "word"))
+    known = placed.join(small_side(vocab, 100_000), "word", "left")
+    token = F.when(F.col("word").isNotNull(), F.struct("place", F.coalesce("token_id", F.lit(1)).alias("id")))
+    ids = known.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(token)), lambda x: x["id"]).alias("ids"))
+    missing = F.lit(max_len) - F.size("ids")
+    return ids.select(
+        "doc_id", F.concat("ids", F.array_repeat(F.lit(0), missing)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
     )

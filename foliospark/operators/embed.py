@@ -42,15 +42,15 @@ def _characters(text: Column) -> Column:
 
 
 # name -> (tokens from text, stages). Every model's size is bounded by the dimensions above.
-ENCODERS: dict[str, tuple[Callable[[Column], Column], Callable[[int], list]]] = {
-    "tfidf_hash": (_words, lambda seed: [
+ENCODERS: dict[str, tuple[Callable[[Column], Column], Callable[[int, int], list]]] = {
+    "tfidf_hash": (_words, lambda seed, tasks: [
         HashingTF(numFeatures=HASH_DIM, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="vector")]),
-    "tfidf_pca": (_words, lambda seed: [
+    "tfidf_pca": (_words, lambda seed, tasks: [
         CountVectorizer(vocabSize=VOCABULARY, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"),
         PCA(k=PCA_DIM, inputCol="idf", outputCol="vector")]),
-    "word2vec": (_hashed_words, lambda seed: [
-        Word2Vec(vectorSize=WORD_DIM, minCount=2, seed=seed, maxIter=1, inputCol="tokens", outputCol="vector")]),
-    "char_hash": (_characters, lambda seed: [
+    "word2vec": (_hashed_words, lambda seed, tasks: [
+        Word2Vec(numPartitions=tasks, vectorSize=WORD_DIM, minCount=2, seed=seed, maxIter=1, inputCol="tokens", outputCol="vector")]),
+    "char_hash": (_characters, lambda seed, tasks: [
         NGram(n=3, inputCol="tokens", outputCol="grams"), HashingTF(numFeatures=HASH_DIM, inputCol="grams", outputCol="tf"),
         IDF(inputCol="tf", outputCol="vector")]),
 }
@@ -96,11 +96,13 @@ class FittedEncoder:
 
 
 def fit_encoder(df: DataFrame, name: str, mode: str, seed: int = 42) -> FittedEncoder:
-    tokens, stages = ENCODERS[name]
+    tokens, make = ENCODERS[name]
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    stages = [*make(seed, tasks), Normalizer(p=2.0, inputCol="vector", outputCol="unit")]
     models = {}
     for view in views_of(df, mode):
         texts = _view_text(df, view).select("doc_id", tokens(F.col("text")).alias("tokens"))
-        models[view] = Pipeline(stages=[*stages(seed), Normalizer(p=2.0, inputCol="vector", outputCol="unit")]).fit(texts)
+        models[view] = Pipeline(stages=stages).fit(texts)
     return FittedEncoder(name, mode, models)
 
 

@@ -36,9 +36,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; otherwise AQE plans the join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, stored: bool = False) -> DataFrame:
+    """Hint a broadcast only after counting that the side is small; otherwise AQE plans the join.
+
+    The side is written first, so that counting it does not compute it twice; ``stored`` says that
+    it is a written table already.
+    """
+    table = df if stored else materialise(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core ahead of heavy per-row work.
+
+    Only for plans without a shuffle; a large input has more partitions anyway and passes unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def hash_key(id_col: str, seed: int) -> Column:

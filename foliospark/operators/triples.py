@@ -9,10 +9,11 @@ to the head's key and one grouping gathers it. All groupings share the hash part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.shared import materialise
 
 # Dependency labels and word classes that take part in a triple.
 LEFT_PARTS = ("compound", "amod")
@@ -26,14 +27,18 @@ def by_document(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("doc_id")
 
 
-def token_phrases(tokens: DataFrame) -> DataFrame:
-    """Add ``phrase``: left compounds and modifiers, the token, right compounds, in text order."""
+def token_phrases(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Add ``phrase``: left compounds and modifiers, the token, right compounds, in text order.
+
+    Only tokens that are ``wanted`` (all by default) get a row; others still lend their text.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
     me = F.struct("tok_id", "text")
     left = F.col("dep").isin(*LEFT_PARTS) & (F.col("tok_id") < F.col("head_id"))
     right = F.col("dep").isin(*RIGHT_PARTS) & (F.col("tok_id") > F.col("head_id"))
     row = F.struct("sent_id", "head_id", "text", "lemma", "pos", "dep")
     sends = F.array(
-        F.struct(F.col("tok_id").alias("to"), me.alias("part"), row.alias("row")),
+        F.when(wanted, F.struct(F.col("tok_id").alias("to"), me.alias("part"), row.alias("row"))),
         F.when(left | right, F.struct(F.col("head_id").alias("to"), me.alias("part"), F.lit(None).cast(tokens.select(row).schema[0].dataType).alias("row"))),
     )
     gathered = (
@@ -49,8 +54,9 @@ def token_phrases(tokens: DataFrame) -> DataFrame:
 def verb_arguments(tokens: DataFrame) -> DataFrame:
     """One row per verb: ``subj`` (last subject child), ``obj`` (last object child, else the first
     object of the last preposition that has one), ``relation`` (lower-case lemma)."""
-    phrases = token_phrases(tokens)
     noun = F.col("pos").isin(*NOUNS)
+    argument = noun & F.col("dep").isin(*SUBJECTS, *OBJECTS)
+    phrases = token_phrases(tokens, argument | (F.col("pos") == "VERB") | (F.col("dep") == "prep"))
     placed = F.struct("tok_id", "phrase")
     # first hop: nouns report to their heads
     report = F.when(noun & (F.col("head_id") != F.col("tok_id")), F.struct(
@@ -131,7 +137,8 @@ def document_graphs(tokens: DataFrame, entities: DataFrame, documents: DataFrame
     Triples follow the first insertion of their source node, then of the edge. A document without
     text gives '' and one without tokens the prose of an empty graph.
     """
-    arguments = verb_arguments(tokens)
+    # nodes and edges both start from the verbs: a small table next to the tokens
+    arguments = materialise(verb_arguments(tokens))
     nodes = graph_nodes(arguments, entities).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "node"))).alias("placed")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import triples as E
+from foliospark.operators.shared import spread
 from foliospark.operators.annotate import ENTITY_SCHEMA, annotate, capitalised_entities
 from foliospark.plans.catalogue.registry import WS, papers, query, sql_words, table
 
@@ -23,7 +24,7 @@ def _graphs(spark, sf_dir):
         return F.struct(F.get(w, i * 3).alias("s"), relation.alias("r"), F.get(w, i * 3 + 2).alias("o"))
 
     places = F.filter(F.sequence(F.lit(0), F.floor(F.size(w) / 3)), lambda i: i * 3 + 2 < F.size(w))
-    return papers(spark, sf_dir).select("doc_id", "abstract", words.alias("words")).withColumn(
+    return spread(papers(spark, sf_dir)).select("doc_id", "abstract", words.alias("words")).withColumn(
         "triples", F.transform(places, triple)
     ).select(
         "doc_id", "abstract", "triples",
@@ -90,7 +91,7 @@ def _(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     words = (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
         .select("doc_id", "sent_id", F.posexplode(F.split("line", " ")).alias("i", "text"))
@@ -194,6 +195,6 @@ def _(spark, sf_dir):
 
 @query("rule_annotated_prose")
 def _(spark, sf_dir):
-    docs = papers(spark, sf_dir)
+    docs = spread(papers(spark, sf_dir))
     return E.document_graphs(annotate(docs), annotate(docs, capitalised_entities, schema=ENTITY_SCHEMA), docs).select(
         "doc_id", F.size("nodes").alias("n_nodes"), F.size("triples").alias("n_triples"), "prose")

@@ -12,6 +12,7 @@ from foliospark.operators import embed as E
 from foliospark.operators import profile as P
 from foliospark.operators.density import fit_density
 from foliospark.operators.sampling import label_encode
+from foliospark.operators.shared import spread
 from foliospark.plans.catalogue.registry import clean_papers, query, sql_words, table
 from foliospark.plans.catalogue.vectors import embeddings
 
@@ -19,7 +20,7 @@ from foliospark.plans.catalogue.vectors import embeddings
 def _encoder(name):
     @query(f"encoder_{name}")
     def _(spark, sf_dir):
-        docs = clean_papers(spark, sf_dir)
+        docs = spread(clean_papers(spark, sf_dir))
         return E.fit_encoder(docs, name, "abstract").transform(docs)
 
 
@@ -46,7 +47,7 @@ def _(spark, sf_dir):
 @query("cluster_mix_kmeans")
 def _(spark, sf_dir):
     """Flagship: category mix per KMeans cluster of hashed TF-IDF vectors."""
-    docs = clean_papers(spark, sf_dir).withColumn("top_category", T.top_category(F.col("categories")))
+    docs = spread(clean_papers(spark, sf_dir)).withColumn("top_category", T.top_category(F.col("categories")))
     vectors = E.fit_encoder(docs, "tfidf_hash", "abstract").transform(docs).join(docs.select("doc_id", "top_category"), "doc_id")
     rows = C.prepared(vectors).persist()
     return P.cluster_mix(C.fit_kmeans(rows, 8).transform(rows))
@@ -87,7 +88,7 @@ def _(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    docs = clean_papers(spark, sf_dir).withColumn("lang", T.top_category(F.col("categories")))
+    docs = spread(clean_papers(spark, sf_dir)).withColumn("lang", T.top_category(F.col("categories")))
     return label_encode(docs, "lang")
 
 
@@ -110,12 +111,12 @@ def _(spark, sf_dir):
 WITH w AS (SELECT doc_id, {sql_words('lower(text)')} AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
 n AS (SELECT word, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, word LIMIT 5000),
-v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS token_id FROM n),
-i AS (SELECT doc_id, list(token_id ORDER BY place)[1:128] AS ids FROM x JOIN v USING (word) GROUP BY 1),
+v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS token_id FROM n),
+i AS (SELECT doc_id, list(coalesce(token_id, 1) ORDER BY place) AS ids FROM x LEFT JOIN v USING (word) WHERE place <= 128 GROUP BY 1),
 a AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN i ON d.doc_id = i.doc_id)
 SELECT doc_id, array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN ids[k + 1]::INT ELSE 0 END), ',') AS input_ids,
   array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask FROM a""")
 def _(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = K.encode_ids(texts, K.vocabulary(texts, 5000))
     return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
