@@ -9,6 +9,8 @@ TEXT_MODES = ("abstract", "triples", "abstract_triples", "hybrid")
 
 @dataclass(frozen=True)
 class PipelineConfig:
+    """Defaults are fixed values of the method: set sizes, sweep ranges, trial count and seed."""
+
     cluster_mode: str = "abstract"
     class_mode: str = "abstract"
     n_clustering: int = 2000

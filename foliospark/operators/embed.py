@@ -122,7 +122,8 @@ def encode_with(texts: DataFrame, make_model: Callable[[], Callable[[list[str]],
             rows = [r for i in range(0, len(values), batch) for r in np.asarray(model(values[i:i + batch]), dtype="float32")]
             yield pd.Series(rows)
 
-    return texts.select("doc_id", l2_normalise(run("text")).cast("array<float>").alias("embedding"))
+    encoded = texts.select("doc_id", run("text").alias("raw"))
+    return encoded.select("doc_id", l2_normalise(F.col("raw")).cast("array<float>").alias("embedding"))
 
 
 def mean_pool(tokens: DataFrame, vectors: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -13,6 +13,7 @@ from foliospark.functions.vectors import argmax
 from foliospark.operators.shared import running, small_side
 
 TILE_ROWS = 2048
+MAX_CLUSTERS = 10_000
 
 
 def _safe(top: Column, bottom: Column, otherwise: Column | None = None) -> Column:
@@ -66,11 +67,11 @@ def _tile_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": [], "own": [], "other": [], "total": []}).astype(
             {"id": "int64", "own": "int64", "other": "int64", "total": "float64"}
         )
-    x, y = np.stack(left["vec"]).astype(float), np.stack(right["vec"]).astype(float)
+    x, y = np.stack(left["vec"]).astype(float), np.stack(right["right_vec"]).astype(float)
     square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
     dist = np.sqrt(np.maximum(square, 0))
-    dist[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = 0
-    names, place = np.unique(right["cluster"].to_numpy(), return_inverse=True)
+    dist[left["id"].to_numpy()[:, None] == right["right_id"].to_numpy()[None, :]] = 0
+    names, place = np.unique(right["right_cluster"].to_numpy(), return_inverse=True)
     sums = dist @ np.eye(len(names))[place]
     return pd.DataFrame({
         "id": np.repeat(left["id"].to_numpy(), len(names)), "own": np.repeat(left["cluster"].to_numpy(), len(names)),
@@ -92,7 +93,9 @@ def silhouette_exact(df: DataFrame, cluster: str, vec: str = "embedding", id_col
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.withColumn("tile", others).groupBy("block", "tile")
-    right = rows.withColumnRenamed("block", "tile").withColumn("block", others).groupBy("block", "tile")
+    right = rows.select(
+        others.alias("at"), F.col("block").alias("at_tile"), *[F.col(c).alias(f"right_{c}") for c in ("id", "cluster", "vec")]
+    ).groupBy("at", "at_tile")
     sums = left.cogroup(right).applyInPandas(_tile_sums, "id long, own long, other long, total double")
     sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("size"))
     per_cluster = sums.groupBy("id", "own", "other").agg(F.sum("total").alias("total")).join(small_side(sizes), "other")
@@ -121,7 +124,9 @@ def silhouette_squared(df: DataFrame, cluster: str, vec: str = "embedding") -> D
     )
     profile = rows.groupBy("cluster").agg(
         F.count("*").alias("size"), F.avg("sq").alias("msq"), vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean")
-    ).collect()  # one row per cluster
+    ).limit(MAX_CLUSTERS + 1).collect()  # one row per cluster
+    if len(profile) > MAX_CLUSTERS:
+        raise ValueError(f"More than {MAX_CLUSTERS} clusters")
     if len(profile) < 2:
         return df.sparkSession.sql("select cast(null as double) as silhouette")
     names = np.array([p["cluster"] for p in profile])
@@ -158,6 +163,12 @@ def confusion(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(y_pred).alias("y_pred")).agg(F.count("*").alias("n"))
 
 
+def confusion_wide(df: DataFrame, num_labels: int, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
+    """The matrix with one row per true class and one column per predicted class."""
+    cells = df.groupBy(F.col(y).alias("y")).pivot(y_pred, list(range(num_labels))).agg(F.count("*"))
+    return cells.na.fill(0)
+
+
 def class_table(cells: DataFrame) -> DataFrame:
     """Per class seen in truth or prediction: support, predicted count, hits, precision, recall, F1."""
     n, hit = F.col("n"), F.col("y") == F.col("y_pred")

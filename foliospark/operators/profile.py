@@ -42,10 +42,16 @@ def quality_counters(scan: DataFrame) -> DataFrame:
     )
 
 
-def distinct_categories(df: DataFrame, col: str = "categories") -> DataFrame:
-    return category_tokens(df, col).agg(
-        F.countDistinct("subcategory").alias("unique_subcategories"),
-        F.countDistinct("top_category").alias("unique_top_categories"),
+def distinct_categories(df: DataFrame, col: str = "categories", approximate: bool = False) -> DataFrame:
+    """Distinct counts from the frequency table; ``approximate`` uses sketches instead."""
+    if approximate:
+        return category_tokens(df, col).agg(
+            F.approx_count_distinct("subcategory").alias("unique_subcategories"),
+            F.approx_count_distinct("top_category").alias("unique_top_categories"),
+        )
+    names = category_tokens(df, col).distinct()
+    return names.agg(
+        F.count("*").alias("unique_subcategories"), F.countDistinct("top_category").alias("unique_top_categories")
     )
 
 

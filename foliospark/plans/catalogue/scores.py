@@ -212,14 +212,14 @@ def _(spark, sf_dir):
     return C.scored_pipelines(results(spark, sf_dir), n).select("embedding", "algorithm", r6(F.col("score")).alias("score"))
 
 
-@query("best_pipeline_of_all", f"""
+@query("best_clustering", f"""
 WITH {_SCORED} SELECT embedding, algorithm, k, round(score, 6) AS score FROM scored ORDER BY score DESC, algorithm, embedding LIMIT 1""")
 def _(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     return C.best_pipeline(results(spark, sf_dir), n).select("embedding", "algorithm", "k", r6(F.col("score")).alias("score"))
 
 
-@query("best_pipeline_forced_k", f"""
+@query("best_clustering_forced_k", f"""
 WITH {_SCORED} SELECT embedding, algorithm, k, round(score, 6) AS score FROM scored WHERE algorithm <> 'HDBSCAN'
 ORDER BY score DESC, algorithm, embedding LIMIT 1""")
 def _(spark, sf_dir):

@@ -103,3 +103,9 @@ def test_best_k_ties_and_failures(spark):
                                  "algorithm string, k int, nmi double, ari double, silhouette double")
     assert {r["algorithm"]: r["k"] for r in C.best_k(rows).collect()} == {"KMeans": 2, "GMM": 8}
     assert math.isclose(C.best_k(rows).where("algorithm = 'GMM'").first()["score"], .2)
+
+
+def test_confusion_matrix(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1)], "y int, y_pred int")
+    wide = {r["y"]: (r["0"], r["1"], r["2"]) for r in M.confusion_wide(df, 3).collect()}
+    assert wide == {0: (1, 1, 0), 1: (0, 2, 0)}

@@ -88,3 +88,15 @@ def test_histogram_edges(spark):
     area = P.density(P.histogram(P.length_frequencies(spark.range(1000), F.col("id")))).collect()
     step = area[1]["x"] - area[0]["x"]
     assert 0.85 < sum(r["density"] for r in area) * step < 1.0
+
+
+def test_profile_report(spark, tmp_path):
+    from foliospark.plans.dataset_profile import profile_dataset
+
+    paths = profile_dataset(spark, lines_file(tmp_path), str(tmp_path / "out"))
+    counts = spark.read.option("header", True).csv(paths["subcategories_counts"]).collect()
+    assert [(r["subcategory"], r["count"]) for r in counts][0] == ("b", "3")
+    lengths = spark.read.option("header", True).csv(paths["abstract_lengths"])
+    assert {tuple(r) for r in lengths.collect()} == {("0", "3", "2"), ("4", "1", "1")}
+    stats = spark.read.json(paths["abstract_length_stats"]).first()
+    assert (stats["count"], stats["min"], stats["max"], stats["mean"], stats["std"]) == (2, 1, 3, 2.0, 1.0)
