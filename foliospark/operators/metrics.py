@@ -165,7 +165,7 @@ def confusion(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
 
 def confusion_wide(df: DataFrame, num_labels: int, y: str = "y", y_pred: str = "y_pred") -> DataFrame:
     """The matrix with one row per true class and one column per predicted class."""
-    cells = df.groupBy(F.col(y).alias("y")).pivot(y_pred, list(range(num_labels))).agg(F.count("*"))
+    cells = df.groupBy(F.col(y).alias("y")).pivot(y_pred, list(range(num_labels))).count()
     return cells.na.fill(0)
 
 
