@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from foliospark.operators.density import DensityModel, fit_density, relabel_nois
 
 EXACT_SILHOUETTE_ROWS = 50_000
 CENTROID_VALUES = 4_000_000
+MIN_PARTITIONS = 8
+PARTITION_ROWS = 20_000
 MIXTURE_DIMS = (16, 8, 4)
 RESULT_SCHEMA = (
     "embedding string, algorithm string, k int, min_cluster_size int, clusters int, noise long, noise_frac double, "
@@ -27,9 +29,10 @@ RESULT_SCHEMA = (
 )
 
 
-def prepared(df: DataFrame, n_partitions: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Fixed row placement, because the start centres depend on it; with an ML vector column."""
-    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def prepared(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Row placement that depends on the rows alone, because the start centres depend on it; with an
+    ML vector column."""
+    n = max(MIN_PARTITIONS, -(-df.count() // PARTITION_ROWS))
     placed = df.repartition(n, id_col).sortWithinPartitions(id_col)
     return placed.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
 
@@ -55,20 +58,26 @@ def fit_kmeans(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
 
 
 def fit_mixture(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
-    """Gaussian mixture on principal components; with fewer of them where a covariance degenerates."""
+    """Gaussian mixture on scaled principal components.
+
+    Scaling does not change the model but keeps densities in range. Where a covariance still
+    degenerates, another start and then fewer components are tried.
+    """
     width = len(rows.select("features").first()[0])
     dims = [d for d in MIXTURE_DIMS if d < width] or [width]
+    failure = None
     for d in dims:
-        stages = [
-            PCA(k=d, inputCol="features", outputCol="reduced"),
-            GaussianMixture(k=k, seed=seed, featuresCol="reduced", predictionCol="prediction"),
-        ]
-        try:
-            return FittedClusterer("GMM", Pipeline(stages=stages).fit(rows))
-        except Exception:
-            if d == dims[-1]:
-                raise
-    raise AssertionError("unreachable")
+        for start in (seed, seed + 1):
+            stages = [
+                PCA(k=d, inputCol="features", outputCol="reduced"),
+                StandardScaler(withMean=True, inputCol="reduced", outputCol="scaled"),
+                GaussianMixture(k=k, seed=start, featuresCol="scaled", predictionCol="prediction"),
+            ]
+            try:
+                return FittedClusterer("GMM", Pipeline(stages=stages).fit(rows))
+            except Exception as e:
+                failure = e
+    raise failure
 
 
 FITS = {"KMeans": fit_kmeans, "GMM": fit_mixture}

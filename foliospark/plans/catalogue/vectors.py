@@ -8,6 +8,7 @@ from foliospark.functions import vectors as V
 from foliospark.operators import cluster as C
 from foliospark.operators import embed as E
 from foliospark.functions import text as T
+from foliospark.operators.shared import spread
 from foliospark.plans.catalogue.registry import query, sql_clean, sql_words, table
 
 
@@ -70,7 +71,7 @@ x AS (SELECT doc_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) A
 a AS (SELECT doc_id, i, avg(e::DOUBLE) AS e FROM x GROUP BY 1, 2)
 SELECT doc_id, (i - 1)::INT AS i, round(e, 5) + 0.0 AS value FROM a""")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.word_list(T.clean_text(F.col("text"))).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", T.word_list(T.clean_text(F.col("text"))).alias("tokens"))
     return entries(E.mean_pool(docs, word_vectors(spark, sf_dir)), "doc_id", F.col("embedding"))
 
 
