@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 from typing import Any
 
 import numpy as np
@@ -23,6 +24,8 @@ CENTROID_VALUES = 4_000_000
 MIN_PARTITIONS = 8
 PARTITION_ROWS = 20_000
 MIXTURE_DIMS = (16, 8, 4)
+# side by side, mixture fits were seen to end in asymmetric covariances: one at a time
+MIXTURE_FITS = Lock()
 RESULT_SCHEMA = (
     "embedding string, algorithm string, k int, min_cluster_size int, clusters int, noise long, noise_frac double, "
     "ari double, nmi double, silhouette double, silhouette_kind string, composite double, error string"
@@ -74,7 +77,8 @@ def fit_mixture(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
                 GaussianMixture(k=k, seed=start, featuresCol="scaled", predictionCol="prediction"),
             ]
             try:
-                return FittedClusterer("GMM", Pipeline(stages=stages).fit(rows))
+                with MIXTURE_FITS:
+                    return FittedClusterer("GMM", Pipeline(stages=stages).fit(rows))
             except Exception as e:
                 failure = e
     raise failure
