@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import linededup, simhash
+from foliospark.llm import bpe, linededup, simhash
+from foliospark.llm.common import by_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +59,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.apply(linededup.build(docs), docs)
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def packed_ids(encoded: DataFrame) -> DataFrame:
+    """``(id, n_tokens, ids, data)``: ``ids`` holds the token ids as little-endian unsigned 32-bit integers."""
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.asarray(x.values, dtype="<u4").tobytes() if len(x.values) else b"" for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(x) // 4 for x in lists], pa.int64()), pa.array(lists, pa.binary()), batch.column(2)],
+            ["id", "n_tokens", "ids", "data"])
+
+    kind = encoded.schema["id"].dataType.simpleString()
+    return by_batch(encoded, f"id {kind}, n_tokens long, ids binary, data binary", one)
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    done = packed_ids(bpe.decode(encoded, vocabulary))
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("data", 256).alias("decoded_sha256"))
