@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm.common import by_batch, column
 
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS, OUT_TOKENS = 1 << 24, 1 << 20
 NONE = np.int32(2**31 - 1)
 #: White space in the pattern's sense (Unicode White_Space).
 BLANK = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -189,51 +189,70 @@ def _gather(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.nd
     return flat[np.arange(total[-1]) + np.repeat(starts - (total - size), size)], total
 
 
-def encode_block(texts: list[str | None], pattern, table: Ranks) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts one after the other, and where each text's tokens end."""
+def encode_block(texts: list[str | None], pattern, table: Ranks) -> Iterator[np.ndarray]:
+    """The tokens of each text of a block."""
     pieces: dict[str, int] = defaultdict()  # numbers for new keys, in their order
     words: dict[str, int] = defaultdict()
     pieces.default_factory, words.default_factory = pieces.__len__, words.__len__
-    stream, pieces_in = [], []
+    stream = []
     for text in texts:
         found = PIECES.findall(text) if text else ()
-        pieces_in.append(len(found))
-        stream.append(np.fromiter(map(pieces.__getitem__, found), np.int64, len(found)))
+        stream.append(np.fromiter(map(pieces.__getitem__, found), np.int32, len(found)))
     made, made_ends = [], []
     for piece in pieces:
         made.extend(map(words.__getitem__, pattern.findall(piece)))
         made_ends.append(len(made))
     flat, ends = replay([w.encode() for w in words], table)
     flat, word_ends = _gather(flat, ends, np.array(made, np.int64))
-    piece_ends = np.concatenate(([0], word_ends))[np.array(made_ends, np.int64)] if made_ends else np.zeros(0, np.int64)
-    flat, ends = _gather(flat, piece_ends, np.concatenate(stream) if stream else np.zeros(0, np.int64))
-    return flat, np.concatenate(([0], ends))[np.cumsum(pieces_in)]
+    ends = np.concatenate(([0], word_ends))[np.array(made_ends, np.int64)] if made_ends else np.zeros(0, np.int64)
+    for pick in stream:
+        yield _gather(flat, ends, pick)[0]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, tokens)``: the token ids of each text, each match of ``pattern`` encoded by itself."""
+def decode_ids(tokens: np.ndarray, table: Ranks) -> bytes:
+    return b"".join(map(table.bytes.__getitem__, tokens.tolist()))
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           forms: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """``id`` and the wanted forms of each text, each match of ``pattern`` encoded by itself.
+
+    ``tokens`` is the array of token ids, ``ids`` the same as little-endian unsigned 32-bit integers, ``n_tokens`` their
+    number and ``decoded`` the bytes that the ids decode to.
+    """
+    kinds = {"tokens": ("array<int>", pa.list_(pa.int32())), "ids": ("binary", pa.binary()),
+             "n_tokens": ("long", pa.int64()), "decoded": ("binary", pa.binary())}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, matcher = ranks(vocabulary), regex.compile(pattern)
+        form = {"tokens": lambda t: t, "ids": lambda t: t.astype("<u4").tobytes(), "n_tokens": len, "decoded": lambda t: decode_ids(t, table)}
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             block = np.cumsum(sizes, dtype=np.int64) // BLOCK_CHARS
             for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(block)) + 1):
-                if len(at):
-                    part = batch.slice(int(at[0]), len(at))
-                    flat, ends = encode_block(part.column(1).to_pylist(), matcher, table)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "tokens"])
+                done, held = 0, [[] for _ in forms]
+                part = batch.slice(int(at[0]), len(at)) if len(at) else batch.slice(0, 0)
+                ids, waiting = part.column(0), 0
+                for n, tokens in enumerate(encode_block(part.column(1).to_pylist(), matcher, table), 1):
+                    for name, out in zip(forms, held):
+                        out.append(form[name](tokens))
+                    waiting += len(tokens)
+                    if waiting >= OUT_TOKENS or n == len(part):
+                        arrays = [pa.array(out, kinds[name][1]) for name, out in zip(forms, held)]
+                        yield pa.RecordBatch.from_arrays([ids.slice(done, n - done), *arrays], ["id", *forms])
+                        done, waiting, held = n, 0, [[] for _ in forms]
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tokens array<int>")
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *[f"{name} {kinds[name][0]}" for name in forms]])
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``(id, tokens, data)``: the bytes that the ids stand for, beside them."""
+    """``(id, decoded)``: the bytes that the ``tokens`` of each row stand for."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token = ranks(vocabulary).bytes.__getitem__
-        data = [b"".join(map(token, x.as_py() or ())) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["id", "tokens", "data"])
+        table = ranks(vocabulary)
+        data = [decode_ids(np.array(x.as_py() or [], np.int32), table) for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "decoded"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return by_batch(encoded.select("id", "tokens"), f"id {kind}, tokens array<int>, data binary", one)
+    return by_batch(encoded.select("id", "tokens"), f"id {kind}, decoded binary", one)

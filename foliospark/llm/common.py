@@ -74,3 +74,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     """How many edges there are and a sum over them: both stay the same only when nothing moves any more."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def add_columns(docs: DataFrame, inputs: list[str], added: list[tuple[str, str]],
+                fn: Callable[..., list[pa.Array]]) -> DataFrame:
+    """``docs`` with further columns that ``fn`` makes from the ``inputs`` of a batch; other columns pass unread."""
+    names = docs.columns
+    at = [names.index(c) for c in inputs]
+    rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(names)])
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"n{i} {kind}" for i, (_, kind) in enumerate(added)]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = fn(*[batch.column(i) for i in at])
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], [k.split(" ", 1)[0] for k in kinds])
+
+    done = by_batch(rows, ", ".join(kinds), one)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"n{i}").alias(c) for i, (c, _) in enumerate(added)])

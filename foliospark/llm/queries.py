@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, linededup, simhash
-from foliospark.llm.common import by_batch
+from foliospark.llm import bpe, linededup, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,22 +58,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def packed_ids(encoded: DataFrame) -> DataFrame:
-    """``(id, n_tokens, ids, data)``: ``ids`` holds the token ids as little-endian unsigned 32-bit integers."""
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.asarray(x.values, dtype="<u4").tobytes() if len(x.values) else b"" for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) // 4 for x in lists], pa.int64()), pa.array(lists, pa.binary()), batch.column(2)],
-            ["id", "n_tokens", "ids", "data"])
-
-    kind = encoded.schema["id"].dataType.simpleString()
-    return by_batch(encoded, f"id {kind}, n_tokens long, ids binary, data binary", one)
-
-
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    done = packed_ids(bpe.decode(encoded, vocabulary))
+    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN, forms=("n_tokens", "ids", "decoded"))
     return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("data", 256).alias("decoded_sha256"))
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS[:3]],
+                        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
