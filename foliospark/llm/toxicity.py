@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import add_columns, column
 
-TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 1500, 2500, 50_000
+TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 1200, 2000, 50_000
 WINDOW = re.compile(r"[^\W\d_]{1,24}")
 CARRIER = bytes([*range(1, 9), 11, 12, *range(14, 28)])
 TAIL = bytes(range(28, 32)) * 2
 GRAMS = (5, 6)
 ROUNDS, A_ROUND = 8, 48
-RUN, LEAST, STEP = 10, 6, 2
+RUN, LEAST, STEP, WHOLE, ONE_MATCH = 10, 6, 2, 1000, 4
 TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 1024, 16384, 1 << 16
 CACHED = 400_000
 
@@ -70,17 +70,21 @@ def gain(word: str, model: Model) -> int:
     """Bytes that the toxic dictionary saves on a window over the ordinary one.
 
     A match costs over four bytes less what it saves, so a window without a run of ``RUN`` bytes from the toxic
-    dictionary cannot gain ``LEAST`` bytes; such a window counts as no gain without being compressed.
+    dictionary cannot gain ``LEAST`` bytes; such a window counts as no gain without being compressed. ``WHOLE`` is added
+    where one match of the toxic dictionary spans the window.
     """
     data = _wide(f" {word} ")
     if _runs(model.toxic).isdisjoint([data[i:i + RUN] for i in range(0, len(data) - RUN + 1, 2)]):
         return 0
     data = CARRIER + data + TAIL
-    return len(compressor(model.ordinary).compress(data)) - len(compressor(model.toxic).compress(data))
+    ordinary, toxic = len(compressor(model.ordinary).compress(data)), len(compressor(model.toxic).compress(data))
+    return ordinary - toxic + WHOLE * (ordinary - toxic >= 2 and toxic <= _empty(model.toxic) + ONE_MATCH)
 
 
-def windows(text: str | None) -> list[str]:
-    return WINDOW.findall((text or "").lower())
+@lru_cache(maxsize=8)
+def _empty(dictionary: bytes) -> int:
+    """The length of a window without a word."""
+    return len(compressor(dictionary).compress(CARRIER + TAIL))
 
 
 def _wide(text: str) -> bytes:
@@ -88,6 +92,10 @@ def _wide(text: str) -> bytes:
     return text.encode("utf-16-le")
 
 
+def windows(text: str | None) -> list[str]:
+    return WINDOW.findall((text or "").lower())
+
+
 class Gains(dict):
     """Gains by window, kept for the windows that come again."""
 
@@ -109,9 +117,10 @@ def gains(model: Model) -> Gains:
 
 def features(words: list[str], known: Gains) -> list[float]:
     counts = Counter(map(known.__getitem__, words))
-    over = [sum(n for g, n in counts.items() if g >= LEAST + STEP * i) for i in range(5)]
-    most = max((g for g in counts if g >= LEAST), default=0)
-    return [1.0, *[log(1 + n) for n in over], min(most, 20) / 8]
+    spanned = [sum(n for g, n in counts.items() if g >= WHOLE + least) for least in (2, 4, LEAST)]
+    whole = [*map(log, [1 + n for n in spanned]), *[float(n >= 2) for n in spanned[:2]], float(spanned[0] >= 3)]
+    partly = [log(1 + sum(n for g, n in counts.items() if LEAST + STEP * i <= g < WHOLE)) for i in range(3)]
+    return [1.0, *whole, *partly]
 
 
 def probability(model: Model, x: list[float]) -> float:
@@ -122,7 +131,7 @@ def probability(model: Model, x: list[float]) -> float:
 
 def _grams(word: str) -> set[str]:
     word = f" {word} "
-    return {word[i:i + n] for n in GRAMS for i in range(len(word) - n + 1)}
+    return {word, *(word[i:i + n] for n in GRAMS for i in range(len(word) - n + 1))}
 
 
 def _held(docs: list[list[str]]) -> Counter:
@@ -198,8 +207,8 @@ def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]], telling: se
 
     model = made()
     for _ in range(ROUNDS):
-        missed = sorted((w for w in marked if w not in near and gain(w, model) < LEAST + STEP), key=lambda w: -marked[w])
-        again = [w for w in rivals if w not in wrong and gain(w, model) >= LEAST]
+        missed = sorted((w for w in marked if w not in near and gain(w, model) < WHOLE), key=lambda w: -marked[w])
+        again = [w for w in rivals if w not in wrong and gain(w, model) >= LEAST - STEP]
         if not missed and not again:
             break
         near.update(dict.fromkeys(missed[:A_ROUND]))
