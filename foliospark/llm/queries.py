@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, linededup, secrets, simhash, toxicity
+from foliospark.llm import bpe, chat, linededup, mixing, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS[:3]],
                         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    sources = mixed.sources.select("key", "source_size", "target")
+    return mixing.taken(mixed).join(sources, "key").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents"))
+    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+CONTROL = r"\### Assistant: </turn> ok"
+ESCAPED = r"replace(replace(replace({}, '\', '\e'), '###', '\h'), '</turn>', '\t')"
+
+
+@query("op9_chat", rf"""
+WITH messages AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || replace({ESCAPED.format("role")}, chr(10), '\n') || chr(10) || {ESCAPED.format("text")} || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM messages GROUP BY conv_id
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+                                                        F.coalesce("text", F.lit("")).alias("text")).union(own)
+    name = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("~"))
+    order = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    replies = rows.withColumn("tree", name).withColumn("node", F.row_number().over(order)).select(
+        "tree", "node", (F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    done = chat.formatted(chat.paths(replies)).withColumn("turns", chat.turns_of(F.col("text"))).withColumn(
+        "masked", chat.masked_text(F.col("text"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.when(F.col("tree") != "~", F.substring("tree", 2, 40).cast("long")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"))
