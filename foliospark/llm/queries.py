@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, linededup, mixing, secrets, sharding, simhash, toxicity
+from foliospark.llm import bpe, chat, linededup, mixing, secrets, sharding, simhash, spotsigs, toxicity
+from foliospark.operators.shared import materialise, running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +131,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("tree") != "~", F.substring("tree", 2, 40).cast("long")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"))
+
+
+def neighbours_by_id(docs: DataFrame) -> DataFrame:
+    """``(id, h, next_id, next_h, k)``: the document after each one in descending id order (the first after the last) and how
+    many code points it lends. Rows that agree in id and text are one document. Only ids, hashes and lengths are moved."""
+    narrow = docs.select("id", "h", F.length("text").cast("long").alias("n")).groupBy("id", "h").agg(F.max("n").alias("n"), F.lit(1).alias("one"))
+    ranked = materialise(running(narrow, [], ["id", "h"], {"rank": "one"}).select("id", "h", "n", "rank"))
+    total = ranked.count()
+    lender = ranked.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), ((F.col("rank") % max(1, total)) + 1).alias("rank"))
+    return ranked.join(lender, "rank").select("id", "h", "next_id", "next_h", F.floor(F.col("n") / 3).cast("int").alias("k"))
+
+
+@query("op1_spotsigs")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    near = materialise(neighbours_by_id(docs))
+    lent = docs.join(near.select(F.col("next_id").alias("i"), F.col("next_h").alias("j"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), "k"),
+                     F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
+    lent = lent.select("to_id", "to_h", "k", F.expr("substring(text, 1, k)").alias("head"), spotsigs.signatures(F.col("text")).alias("next_sigs"))
+    lent = lent.groupBy("to_id", "to_h").agg(F.first("k").alias("k"), F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))
+    met = docs.join(lent, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    n = F.length("text")
+    edited = met.select("id", n.cast("long").alias("n_chars"), "next_sigs", "text", F.concat(F.substring("text", F.lit(1), n - F.col("k")), "head").alias("edited"))
+    done = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("sigs"),
+                         spotsigs.signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
+    return done.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", spotsigs.as_text(F.col("sigs")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
