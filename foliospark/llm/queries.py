@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, chat, linededup, mixing, secrets, sharding, simhash, spotsigs, toxicity
+from foliospark.llm import ann, bpe, chat, linededup, mixing, secrets, sharding, simhash, spotsigs, toxicity
 from foliospark.operators.shared import materialise, running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", spotsigs.as_text(F.col("sigs")).alias("fingerprint"),
         spotsigs.as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+@query("op4_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = ann.nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
