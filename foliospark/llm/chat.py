@@ -20,6 +20,8 @@ root and are left out. Repeated ids within a tree keep the smallest (role, text)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,21 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     jump = materialise(
         known.select("tree", "node", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
         .join(linked, ["tree", "node"], "left").select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("hops"), "total"))
-    jumps, open_, most = [jump], jump.where("up IS NOT NULL").count(), jump.count()
-    while open_ and 1 << len(jumps) <= 2 * most:
-        above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"), F.col("total").alias("plus"))
-        jump = materialise(jump.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-            (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")))
-        open_ = jump.where("up IS NOT NULL").count()
-        jumps.append(jump)
-    rooted = jump.where("up IS NULL").select("tree", "node", "hops", "total")
+    done, reach, jumps, most = [jump.where("up IS NULL")], jump.where("up IS NOT NULL"), [], jump.count()
+    while 1 << len(jumps) <= 2 * most and not reach.isEmpty():  # only messages still short of their root jump on
+        jumps.append(reach)
+        above = reduce(DataFrame.union, [*done, reach]).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"), F.col("total").alias("plus"))
+        jump = materialise(reach.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("total") + F.col("plus")).alias("total")))
+        done.append(jump.where("up IS NULL"))
+        reach = jump.where("up IS NOT NULL")
+    rooted = reduce(DataFrame.union, done).select("tree", "node", "hops", "total")
     leaves = rooted.join(linked.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("hops"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep)
     walk = materialise(chosen.select("tree", F.col("node").alias("leaf"), "node"))
-    for step in reversed(jumps[:-1]):
-        up = walk.join(step.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"])
+    for step in reversed(jumps):
+        up = walk.join(step.select("tree", "node", "up"), ["tree", "node"])
         walk = materialise(walk.union(up.select("tree", "leaf", F.col("up").alias("node"))))
     turns = walk.join(rooted.select("tree", "node", "hops"), ["tree", "node"]).join(known, ["tree", "node"])
     return turns.select("tree", "leaf", F.col("hops").alias("depth"), "role", "text")

@@ -111,18 +111,22 @@ def _across(fps: DataFrame, max_bits: int) -> DataFrame:
     return left.join(right, met & once & (~exact | (F.col("x") < F.col("y")))).select(F.col("gx").alias("a"), F.col("gy").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    max_bits: int = 4) -> DataFrame:
-    """``(id, fp, component_id)`` for each row of ``docs``."""
-    each = materialise(fingerprints(docs, id_col, text_col, shingle))
-    fps = materialise(each.groupBy("fp").agg(F.min("id").alias("low")))
+def components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``(fp, low, root)`` for distinct fingerprints ``(fp, low)``: ``root`` is the same for all that links connect."""
     near = connected_components(_leaders(fps, max_bits))
     grouped = materialise(
         fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("grp"))
     )
     far = connected_components(_across(grouped, max_bits))
-    rooted = grouped.join(far.withColumnRenamed("node", "grp"), "grp", "left").select("fp", "low", F.coalesce("root", "grp").alias("root"))
-    rooted = materialise(rooted)
+    return grouped.join(far.withColumnRenamed("node", "grp"), "grp", "left").select("fp", "low", F.coalesce("root", "grp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                    max_bits: int = 4) -> DataFrame:
+    """``(id, fp, component_id)`` for each row of ``docs``."""
+    each = materialise(fingerprints(docs, id_col, text_col, shingle))
+    fps = materialise(each.groupBy("fp").agg(F.min("id").alias("low")))
+    rooted = materialise(components(fps, max_bits))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return each.join(named, "fp").select("id", "fp", "component_id")
