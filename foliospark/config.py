@@ -5,11 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 TEXT_MODES = ("abstract", "triples", "abstract_triples", "hybrid")
+SILHOUETTES = ("squared", "euclidean")
 
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Defaults are fixed values of the method: set sizes, sweep ranges, trial count and seed."""
+    """Defaults are fixed values of the method: set sizes, sweep ranges, trial count and seed.
+
+    ``n_clustering`` documents fit the encoders and the clustering; all others get their labels. ``n_classifier`` of those
+    bound the labelled rows that the classifier search learns from. ``silhouette`` names the form of that score at every
+    size: ``squared`` is linear in the rows, ``euclidean`` is exact and quadratic.
+    """
 
     cluster_mode: str = "abstract"
     class_mode: str = "abstract"
@@ -24,6 +30,7 @@ class PipelineConfig:
     encoders: tuple[str, ...] = ("tfidf_hash", "tfidf_pca", "word2vec", "char_hash")
     validation_fraction: float = 0.2
     min_group_size: int = 2
+    silhouette: str = "squared"
     seed: int = 42
     parallelism: int = 4
 
@@ -31,3 +38,5 @@ class PipelineConfig:
         for mode in (self.cluster_mode, self.class_mode):
             if mode not in TEXT_MODES:
                 raise ValueError(f"Unknown text mode: {mode!r}; expected one of {TEXT_MODES}")
+        if self.silhouette not in SILHOUETTES:
+            raise ValueError(f"Unknown silhouette: {self.silhouette!r}; expected one of {SILHOUETTES}")

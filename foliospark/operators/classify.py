@@ -13,19 +13,24 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import metrics as M
 from foliospark.operators.sampling import select_text, stratified_split
-from foliospark.operators.shared import small_side
+from foliospark.operators.shared import running
 
-FEATURES = 512
+FEATURES = 1 << 18
+#: Trees and the perceptron weigh every slot, so they see words hashed into fewer.
+DENSE_FEATURES = 1024
+DENSE = ("random_forest", "perceptron")
 MAX_TOKENS = 128
-# Batch sizes and passes of the search.
+# Sizes and passes of the search. In this engine a size acts as hidden units of the perceptron and as depth of
+# a tree (its binary logarithm), passes as iterations or trees; a model draws only what acts on it.
 BATCHES = (8, 16, 32)
 EPOCHS = (1, 8)
+DRAWS = {"logistic": ("epochs",), "naive_bayes": (), "random_forest": ("batch", "epochs"), "perceptron": ("batch", "epochs"), "linear_svc": ("epochs",)}
 # Per model the range of its step size or regularisation, drawn log-uniformly.
 RATES = {
     "logistic": (1e-4, 1e-1),
@@ -40,7 +45,7 @@ METRICS = (
 )
 TRIAL_SCHEMA = (
     "trial_id int, state string, value double, model_name string, lr double, batch int, epochs int, "
-    + ", ".join(f"{m} double" for m in METRICS)
+    + ", ".join(f"{m} double" for m in METRICS) + ", error string"
 )
 
 
@@ -49,8 +54,8 @@ class Trial:
     trial_id: int
     model_name: str
     lr: float
-    batch: int
-    epochs: int
+    batch: int | None = None
+    epochs: int | None = None
 
 
 def draw_trials(n: int, seed: int = 42) -> list[Trial]:
@@ -60,39 +65,43 @@ def draw_trials(n: int, seed: int = 42) -> list[Trial]:
         name = rng.choice(sorted(RATES))
         lo, hi = RATES[name]
         rate = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-        trials.append(Trial(i, name, rate, rng.choice(BATCHES), rng.randint(*EPOCHS)))
+        batch, epochs = rng.choice(BATCHES), rng.randint(*EPOCHS)
+        acts = DRAWS[name]
+        trials.append(Trial(i, name, rate, batch if "batch" in acts else None, epochs if "epochs" in acts else None))
     return trials
 
 
 def estimator(t: Trial, num_labels: int, seed: int = 42):
-    """The Spark ML classifier of a trial; ``batch`` is the block size, ``epochs`` scales the passes."""
-    columns = {"featuresCol": "features", "labelCol": "label"}
+    """The Spark ML classifier of a trial."""
+    columns = {"featuresCol": "dense" if t.model_name in DENSE else "features", "labelCol": "label"}
     if t.model_name == "logistic":
-        return LogisticRegression(regParam=t.lr, maxIter=10 * t.epochs, family="multinomial", maxBlockSizeInMB=float(t.batch), **columns)
+        return LogisticRegression(regParam=t.lr, maxIter=10 * t.epochs, family="multinomial", **columns)
     if t.model_name == "naive_bayes":
         return NaiveBayes(smoothing=t.lr, **columns)
     if t.model_name == "random_forest":
-        return RandomForestClassifier(minInfoGain=t.lr, numTrees=5 * t.epochs, maxDepth=8, seed=seed, **columns)
+        return RandomForestClassifier(minInfoGain=t.lr, numTrees=5 * t.epochs, maxDepth=t.batch.bit_length() + 2, seed=seed, **columns)
     if t.model_name == "perceptron":
-        return MultilayerPerceptronClassifier(layers=[FEATURES, 32, num_labels], stepSize=t.lr, maxIter=10 * t.epochs, blockSize=t.batch, solver="l-bfgs", seed=seed, **columns)
+        return MultilayerPerceptronClassifier(layers=[DENSE_FEATURES, t.batch, num_labels], stepSize=t.lr, maxIter=10 * t.epochs, solver="gd", seed=seed, **columns)
     if t.model_name == "linear_svc":
-        svc = LinearSVC(regParam=t.lr, maxIter=10 * t.epochs, tol=1e-3, maxBlockSizeInMB=float(t.batch))
+        svc = LinearSVC(regParam=t.lr, maxIter=10 * t.epochs, tol=1e-3)
         return OneVsRest(classifier=svc, parallelism=4, **columns)
     raise ValueError(f"Unknown model: {t.model_name!r}")
 
 
 def fit_features(texts: DataFrame) -> PipelineModel:
-    """Hashed TF-IDF of the first ``MAX_TOKENS`` words; fitted on training texts only."""
-    return Pipeline(stages=[HashingTF(numFeatures=FEATURES, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="features")]).fit(
-        _tokens(texts))
+    """Hashed TF-IDF of all words, in a wide sparse and a narrow form; fitted on training texts only."""
+    return Pipeline(stages=[
+        HashingTF(numFeatures=FEATURES, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="features"),
+        HashingTF(numFeatures=DENSE_FEATURES, inputCol="tokens", outputCol="few"), IDF(inputCol="few", outputCol="dense"),
+    ]).fit(_tokens(texts))
 
 
 def _tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("tokens", F.slice(T.word_list(F.lower("text")), 1, MAX_TOKENS))
+    return texts.withColumn("tokens", T.word_list(F.lower("text")))
 
 
 def with_features(texts: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(_tokens(texts)).select("doc_id", F.col("y").alias("label"), "features")
+    return model.transform(_tokens(texts)).select("doc_id", F.col("y").alias("label"), "features", "dense")
 
 
 def train_eval(train: DataFrame, val: DataFrame, t: Trial, num_labels: int, seed: int = 42) -> DataFrame:
@@ -124,7 +133,7 @@ def trial_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 def search(df: DataFrame, mode: str, label: str, n_trials: int = 24, fraction: float = 0.2, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """The trial table of a seeded search; split and features are made once and shared by all trials."""
-    texts = select_text(df, mode).join(df.select("doc_id", F.col(label).cast("double").alias("y")), "doc_id")
+    texts = select_text(df, mode, F.col(label).cast("double").alias("y"))
     marked = stratified_split(texts, "y", fraction, "doc_id", seed).persist()
     num_labels = marked.agg(F.countDistinct("y")).first()[0]
     model = fit_features(marked.where("split = 'train'"))
@@ -155,19 +164,21 @@ def trial_log(trials: DataFrame, params: tuple[str, ...] = ("model_name", "lr",
     return trials.select("trial_id", F.explode(entries).alias("e")).select("trial_id", "e.*").where("value is not null")
 
 
-def vocabulary(texts: DataFrame, size: int = 30_000) -> DataFrame:
-    """``word, token_id`` of the most frequent words, from 2; 0 is padding and 1 an unknown word."""
+def vocabulary(texts: DataFrame, min_count: int = 1) -> DataFrame:
+    """``word, token_id`` by falling frequency, from 2; 0 is padding and 1 an unknown word.
+
+    All words have an id unless the caller asks for a least count.
+    """
     words = texts.select(F.explode_outer(T.word_list(F.lower("text"))).alias("word")).where("word is not null")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    # one window over at most `size` rows
-    return top.select("word", (F.row_number().over(Window.orderBy(F.desc("count"), "word")) + 1).alias("token_id"))
+    counts = words.groupBy("word").agg((-F.count("*")).alias("falling"), F.lit(1).alias("one")).where(F.col("falling") <= -min_count)
+    return running(counts, [], ["falling", "word"], {"rank": "one"}).select("word", (F.col("rank") + 1).cast("int").alias("token_id"))
 
 
 def encode_ids(texts: DataFrame, vocab: DataFrame, max_len: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, input_ids, attention_mask``: the first ``max_len`` words as ids, padded to that length."""
     words = F.slice(T.word_list(F.lower("text")), 1, max_len)
     placed = texts.select("doc_id", F.posexplode_outer(words).alias("place", "word"))
-    known = placed.join(small_side(vocab, 100_000), "word", "left")
+    known = placed.join(vocab, "word", "left")
     token = F.when(F.col("word").isNotNull(), F.struct("place", F.coalesce("token_id", F.lit(1)).alias("id")))
     ids = known.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(token)), lambda x: x["id"]).alias("ids"))
     missing = F.lit(max_len) - F.size("ids")

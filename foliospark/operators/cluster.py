@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import metrics as M
 from foliospark.operators.density import DensityModel, fit_density, relabel_noise
+from foliospark.operators.shared import materialise
 
-EXACT_SILHOUETTE_ROWS = 50_000
-CENTROID_VALUES = 4_000_000
+CENTROID_BLOCK_VALUES = 4_000_000
 MIN_PARTITIONS = 8
 PARTITION_ROWS = 20_000
 MIXTURE_DIMS = (16, 8, 4)
@@ -87,14 +87,11 @@ def fit_mixture(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
 FITS = {"KMeans": fit_kmeans, "GMM": fit_mixture}
 
 
-def silhouette(df: DataFrame, rows: int) -> tuple[float | None, str]:
-    """Exact up to a row limit, the linear squared form beyond it; the kind is part of the result."""
-    if rows <= EXACT_SILHOUETTE_ROWS:
-        return M.silhouette_exact(df, "cluster_id").first()[0], "euclidean"
-    return M.silhouette_squared(df, "cluster_id").first()[0], "squared"
+#: The two forms are different numbers, so the caller names one and gets it at every size.
+SILHOUETTE_FORMS = {"squared": M.silhouette_squared, "euclidean": M.silhouette_exact}
 
 
-def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, seed: int, rows: int) -> dict:
+def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, seed: int, silhouette: str = "squared") -> dict:
     """One result row for a KMeans or mixture fit; a failed fit leaves its message in ``error``."""
     row = {"algorithm": algorithm, "k": k, "noise": 0}
     try:
@@ -102,10 +99,10 @@ def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, seed: int, rows
         try:
             agreement = M.partition_agreement(labelled, truth, "cluster_id").first()
             clusters = labelled.agg(F.countDistinct("cluster_id")).first()[0]
-            sil, kind = silhouette(labelled, rows)
+            width = SILHOUETTE_FORMS[silhouette](labelled, "cluster_id").first()[0]
         finally:
             labelled.unpersist()
-        row |= {"clusters": clusters, "ari": agreement["ari"], "nmi": agreement["nmi"], "silhouette": sil, "silhouette_kind": kind}
+        row |= {"clusters": clusters, "ari": agreement["ari"], "nmi": agreement["nmi"], "silhouette": width, "silhouette_kind": silhouette}
     except Exception as e:
         row["error"] = str(e)[:300]
     return row
@@ -116,12 +113,12 @@ def result_rows(spark, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RESULT_SCHEMA)
 
 
-def k_sweep(df: DataFrame, ks: list[int], truth: str, algorithms=("KMeans", "GMM"), seed: int = 42, parallelism: int = 4) -> DataFrame:
+def k_sweep(df: DataFrame, ks: list[int], truth: str, algorithms=("KMeans", "GMM"), seed: int = 42, parallelism: int = 4,
+            silhouette: str = "squared") -> DataFrame:
     """Fit every k with every algorithm on one cached input; a few jobs at a time."""
     rows = prepared(df).persist()
-    n = rows.count()
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(lambda t: score_fit(rows, t[0], t[1], truth, seed, n), [(a, k) for k in ks for a in algorithms]))
+        results = list(pool.map(lambda t: score_fit(rows, t[0], t[1], truth, seed, silhouette), [(a, k) for k in ks for a in algorithms]))
     rows.unpersist()
     return result_rows(df.sparkSession, results)
 
@@ -169,16 +166,15 @@ def compare(embedded: dict[str, DataFrame], truth: str, cfg) -> DataFrame:
     else:
         limit = min(first.agg(F.countDistinct(truth)).first()[0], cfg.max_k)
         ks = list(range(2, limit + 1, cfg.k_step))
-        swept = k_sweep(first, ks, truth, by_k, cfg.seed, cfg.parallelism) if ks else None
+        swept = k_sweep(first, ks, truth, by_k, cfg.seed, cfg.parallelism, cfg.silhouette) if ks else None
         chosen = {r["algorithm"]: r["k"] for r in best_k(swept).collect()} if ks else {}
     rows = []
     for name, df in embedded.items():
         found = []
         placed = prepared(df).persist()
-        n = placed.count()
         for a in by_k:
             if a in chosen:
-                found.append(score_fit(placed, a, chosen[a], truth, cfg.seed, n))
+                found.append(score_fit(placed, a, chosen[a], truth, cfg.seed, cfg.silhouette))
         if "HDBSCAN" in cfg.algorithms:
             found += sorted(density_rows(df, truth, cfg.min_cluster_sizes)[0], key=lambda r: -r["composite"])[:1]
         placed.unpersist()
@@ -205,7 +201,7 @@ def best_pipeline(results: DataFrame, n_samples: int, force_k: int | None = None
 def select_best(results: DataFrame, n_samples: int, force_k: int | None = None) -> dict:
     row = best_pipeline(results, n_samples, force_k).first()
     if row is None:
-        raise RuntimeError("No valid clustering pipeline found.")
+        raise RuntimeError("No fit scored above zero in both agreement measures; there is nothing to choose from.")
     return row.asDict()
 
 
@@ -232,18 +228,37 @@ def fitted_labels(clusterer: FittedClusterer, df: DataFrame) -> DataFrame:
 def assign_nearest(df: DataFrame, centroids: DataFrame, cluster: str, vec: str = "embedding") -> DataFrame:
     """Add ``cluster_id``: the nearest centroid; the lowest label wins a tie.
 
-    Centroids travel as one matrix, after a check of their total size.
+    Centroids travel as matrices of at most ``CENTROID_BLOCK_VALUES`` values. One such matrix goes to every task with the
+    function; more of them meet the rows one block at a time, and each row keeps its best over the blocks.
     """
-    size = centroids.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
-    if size > CENTROID_VALUES:
-        raise ValueError(f"{size} centroid values exceed the limit of {CENTROID_VALUES}")
-    found = centroids.orderBy(cluster).collect()
-    names = np.array([r[cluster] for r in found])
-    matrix = np.array([r["centroid"] for r in found], dtype=float)
-
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        x = np.stack(v).astype(float)
-        return pd.Series(names[((matrix * matrix).sum(1)[None, :] - 2 * x @ matrix.T).argmin(1)])
-
-    return df.withColumn("cluster_id", nearest(F.col(vec)))
+    size, n = centroids.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0)), F.count("*")).first()
+    if size <= CENTROID_BLOCK_VALUES:
+        found = centroids.orderBy(cluster).collect()  # checked to be one block
+        names = np.array([r[cluster] for r in found])
+        matrix = np.array([r["centroid"] for r in found], dtype=float)
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series) -> pd.Series:
+            x = np.stack(v).astype(float)
+            return pd.Series(names[((matrix * matrix).sum(1)[None, :] - 2 * x @ matrix.T).argmin(1)])
+
+        return df.withColumn("cluster_id", nearest(F.col(vec)))
+    blocks = -(-size // CENTROID_BLOCK_VALUES)
+    packed = centroids.groupBy(F.pmod(F.xxhash64(cluster), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("name"), F.col("centroid")))).alias("_held"))
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    met = rows.select("_row", F.col(vec).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+
+    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64"), "name": pd.Series(dtype="int32")})
+        held = right["_held"].iloc[0]
+        matrix = np.array([h["centroid"] for h in held], dtype=float)
+        d = (matrix * matrix).sum(1)[None, :] - 2 * np.stack(left["v"]).astype(float) @ matrix.T
+        return pd.DataFrame({"_row": left["_row"], "d": d.min(1), "name": np.array([h["name"] for h in held])[d.argmin(1)].astype("int32")})
+
+    chunk = F.pmod(F.col("_row"), F.lit(max(1, -(-n // 4096)))).cast("int")
+    sent = met.withColumn("_chunk", chunk).groupBy("_block", "_chunk")
+    there = packed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // 4096)) - 1)))).groupBy("_block", "_chunk")
+    best = sent.cogroup(there).applyInPandas(look, "_row long, d double, name int").groupBy("_row").agg(F.min_by("name", F.struct("d", "name")).alias("cluster_id"))
+    return rows.join(best, "_row").drop("_row")

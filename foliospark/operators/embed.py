@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Normalizer, Word2Vec
+from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,13 +18,13 @@ from foliospark.config import TEXT_MODES
 from foliospark.functions import text as T
 from foliospark.functions.vectors import concat_views, l2_normalise
 from foliospark.operators.sampling import select_text
-from foliospark.operators.shared import small_side
 
 HASH_DIM = 512
-VOCABULARY = 1024
+PCA_INPUT = 1024
 PCA_DIM = 32
 WORD_DIM = 48
 WORD_BUCKETS = 1 << 14
+WORD_TASKS = 8  # part of the model: Word2Vec averages what this many tasks learn
 MAX_TOKENS = 256
 
 
@@ -42,15 +42,15 @@ def _characters(text: Column) -> Column:
 
 
 # name -> (tokens from text, stages). Every model's size is bounded by the dimensions above.
-ENCODERS: dict[str, tuple[Callable[[Column], Column], Callable[[int, int], list]]] = {
-    "tfidf_hash": (_words, lambda seed, tasks: [
+ENCODERS: dict[str, tuple[Callable[[Column], Column], Callable[[int], list]]] = {
+    "tfidf_hash": (_words, lambda seed: [
         HashingTF(numFeatures=HASH_DIM, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="vector")]),
-    "tfidf_pca": (_words, lambda seed, tasks: [
-        CountVectorizer(vocabSize=VOCABULARY, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"),
+    "tfidf_pca": (_words, lambda seed: [
+        HashingTF(numFeatures=PCA_INPUT, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"),
         PCA(k=PCA_DIM, inputCol="idf", outputCol="vector")]),
-    "word2vec": (_hashed_words, lambda seed, tasks: [
-        Word2Vec(numPartitions=tasks, vectorSize=WORD_DIM, minCount=2, seed=seed, maxIter=1, inputCol="tokens", outputCol="vector")]),
-    "char_hash": (_characters, lambda seed, tasks: [
+    "word2vec": (_hashed_words, lambda seed: [
+        Word2Vec(numPartitions=WORD_TASKS, vectorSize=WORD_DIM, minCount=1, seed=seed, maxIter=1, inputCol="tokens", outputCol="vector")]),
+    "char_hash": (_characters, lambda seed: [
         NGram(n=3, inputCol="tokens", outputCol="grams"), HashingTF(numFeatures=HASH_DIM, inputCol="grams", outputCol="tf"),
         IDF(inputCol="tf", outputCol="vector")]),
 }
@@ -97,8 +97,7 @@ class FittedEncoder:
 
 def fit_encoder(df: DataFrame, name: str, mode: str, seed: int = 42) -> FittedEncoder:
     tokens, make = ENCODERS[name]
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    stages = [*make(seed, tasks), Normalizer(p=2.0, inputCol="vector", outputCol="unit")]
+    stages = [*make(seed), Normalizer(p=2.0, inputCol="vector", outputCol="unit")]
     models = {}
     for view in views_of(df, mode):
         texts = _view_text(df, view).select("doc_id", tokens(F.col("text")).alias("tokens"))
@@ -126,23 +125,22 @@ def encode_with(texts: DataFrame, make_model: Callable[[], Callable[[list[str]],
     return encoded.select("doc_id", l2_normalise(F.col("raw")).cast("array<float>").alias("embedding"))
 
 
-def mean_pool(tokens: DataFrame, vectors: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Mean word vector of the first ``max_tokens`` words (the encoder's truncation).
+def mean_pool(tokens: DataFrame, vectors: DataFrame, max_tokens: int | None = MAX_TOKENS) -> DataFrame:
+    """Mean word vector of the first ``max_tokens`` words (an encoder's truncation; None takes all words).
 
-    ``tokens(doc_id, tokens array)``, ``vectors(word, embedding)``; words without a vector are left
-    out. Words are counted per document before the join, and the vector table is broadcast only if
-    it is small.
+    ``tokens(doc_id, tokens array)``, ``vectors(word, embedding)``; words without a vector are left out, and a document
+    without any has the zero vector. Words are counted per document before the join.
     """
+    words = F.col("tokens") if max_tokens is None else F.slice("tokens", 1, max_tokens)
     counted = (
-        tokens.select("doc_id", F.explode_outer(F.slice("tokens", 1, max_tokens)).alias("word"))
+        tokens.select("doc_id", F.explode_outer(words).alias("word"))
         .where("word is not null").groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
     )
     table = vectors.select("word", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return (
-        counted.join(small_side(table, 50_000), "word")
-        .groupBy("doc_id").agg(Summarizer.mean(F.col("v"), F.col("n")).alias("m"))
-        .select("doc_id", vector_to_array("m").alias("embedding"))
-    )
+    width = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    pooled = counted.join(table, "word").groupBy("doc_id").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("n"))).alias("m"))
+    return tokens.select("doc_id").distinct().join(pooled, "doc_id", "left").select(
+        "doc_id", F.coalesce("m", F.array_repeat(F.lit(0.0), width)).alias("embedding"))
 
 
 def mean_vectors(df: DataFrame, group: str, vec: str = "embedding") -> DataFrame:

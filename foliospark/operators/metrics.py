@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.vectors import argmax
-from foliospark.operators.shared import running, small_side
+from foliospark.operators.shared import materialise, running, small_side
 
 TILE_ROWS = 2048
-MAX_CLUSTERS = 10_000
+CLUSTER_BLOCK = 4096
 
 
 def _safe(top: Column, bottom: Column, otherwise: Column | None = None) -> Column:
@@ -124,27 +124,44 @@ def silhouette_squared(df: DataFrame, cluster: str, vec: str = "embedding") -> D
     )
     profile = rows.groupBy("cluster").agg(
         F.count("*").alias("size"), F.avg("sq").alias("msq"), vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean")
-    ).limit(MAX_CLUSTERS + 1).collect()  # one row per cluster
-    if len(profile) > MAX_CLUSTERS:
-        raise ValueError(f"More than {MAX_CLUSTERS} clusters")
-    if len(profile) < 2:
+    )
+    n = profile.count()
+    if n < 2:
         return df.sparkSession.sql("select cast(null as double) as silhouette")
-    names = np.array([p["cluster"] for p in profile])
-    sizes = np.array([p["size"] for p in profile], float)
-    msq = np.array([p["msq"] for p in profile])
-    means = np.stack([p["mean"] for p in profile])
-
-    @F.pandas_udf("double")
-    def width(c: pd.Series, v: pd.Series, sq: pd.Series) -> pd.Series:
-        mean_dist = np.maximum(sq.to_numpy()[:, None] + msq[None, :] - 2 * np.stack(v) @ means.T, 0)
-        own = c.to_numpy()[:, None] == names[None, :]
-        size = own @ sizes
-        a = np.where(size > 1, (mean_dist * own).sum(1) * size / np.maximum(size - 1, 1), 0)
-        b = np.where(own, np.inf, mean_dist).min(1)
-        top = np.maximum(a, b)
-        return pd.Series(np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0))
-
-    return rows.agg(F.avg(width("cluster", "vec", "sq")).alias("silhouette"))
+    blocks = -(-n // CLUSTER_BLOCK)
+    numbered = profile.select(
+        F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int").alias("block"), F.struct("cluster", "size", "msq", "mean").alias("p"))
+    packed = numbered.groupBy("block").agg(F.collect_list("p").alias("held"))
+    # every row meets every cluster, a block of clusters at a time; one row per row and block comes back
+    placed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    if blocks > 1:
+        placed = materialise(rows.withColumn("row", F.monotonically_increasing_id())).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+
+    @F.pandas_udf("a double, b double, size long")
+    def parts(c: pd.Series, v: pd.Series, sq: pd.Series, held: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"a": np.nan, "b": np.nan, "size": 0}, index=range(len(c)))
+        for key, at in pd.Series(range(len(c))).groupby([h[0]["cluster"] for h in held]):  # batches mix blocks
+            profile = held.iloc[at.iloc[0]]
+            names, sizes = np.array([p["cluster"] for p in profile]), np.array([p["size"] for p in profile], float)
+            msq, means = np.array([p["msq"] for p in profile]), np.stack([p["mean"] for p in profile])
+            mean_dist = np.maximum(sq.to_numpy()[at][:, None] + msq[None, :] - 2 * np.stack(v.iloc[at]) @ means.T, 0)
+            own = c.to_numpy()[at][:, None] == names[None, :]
+            size = own @ sizes
+            out.loc[at, "a"] = np.where(size > 0, (mean_dist * own).sum(1) * size / np.maximum(size - 1, 1), np.nan)
+            out.loc[at, "b"] = np.where(own, np.inf, mean_dist).min(1)
+            out.loc[at, "size"] = size.astype("int64")
+        return out
+
+    measured = placed.select("*", parts("cluster", "vec", "sq", "held").alias("m"))
+    if blocks > 1:
+        best = measured.groupBy("row").agg(
+            F.max(F.when(F.col("m.size") > 0, F.col("m.a"))).alias("a"), F.min("m.b").alias("b"), F.max("m.size").alias("size"))
+    else:
+        best = measured.select("m.a", "m.b", "m.size")
+    top = F.greatest("a", "b")
+    width = F.when((F.col("size") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return best.agg(F.avg(width).alias("silhouette"))
 
 
 def noise_and_clusters(df: DataFrame, cluster: str) -> DataFrame:

@@ -3,6 +3,7 @@ that never pull one hot group into one task."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+_FOLDERS: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,8 +26,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """One folder per application under the scratch root; all scratch tables of a session are in it."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS.add(app)
+        atexit.register(_clear_quietly, spark)
+    return f"{scratch_root(spark)}/foliospark-{app}"
+
+
 def scratch_path(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the session's scratch tables through Spark's file system. Call it when no table that is still to be read comes
+    from this library any more; it also runs when the driver ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has no file system to ask
+        clear_scratch(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -122,6 +122,11 @@ def graph_nodes(arguments: DataFrame, entities: DataFrame) -> DataFrame:
     return named.unionByName(used).groupBy("doc_id", "node").agg(F.min("ord").alias("ord"), F.max_by("type", "ord").alias("type"))
 
 
+def with_sentences(edges: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Edges with the text of their sentence."""
+    return edges.join(sentence_texts(tokens), ["doc_id", "sent_id"], "left")
+
+
 def graph_edges(arguments: DataFrame) -> DataFrame:
     """One edge per (src, dst); a later verb overwrites relation and sentence but not the place."""
     return (

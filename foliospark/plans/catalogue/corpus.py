@@ -28,6 +28,14 @@ def _(spark, sf_dir):
     return read_jsonl(spark, _json_lines(spark, sf_dir)).select("doc_id", "abstract", "categories")
 
 
+@query("read_jsonl_limit", f"""
+WITH {PAPERS} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, abstract, categories FROM papers
+QUALIFY row_number() OVER (ORDER BY doc_id) <= 300""")
+def _(spark, sf_dir):
+    """The scan with its line limit, which is the feature."""
+    return read_jsonl(spark, _json_lines(spark, sf_dir), 300).select("doc_id", "abstract", "categories")
+
+
 @query("profile_scan_lengths", f"""
 WITH {PAPERS}
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, length(abstract) AS abstract_length_chars,
@@ -96,6 +104,25 @@ def _(spark, sf_dir):
     return S.select_text(clean_papers(spark, sf_dir), "abstract")
 
 
+@query("select_text_triples", """
+WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(0, len(ws) // 3), lambda i: concat(ws[3 * i + 1], ' ', ws[3 * i + 2], ' ', ws[3 * i + 3])), ' ; ') AS text FROM w""")
+def _(spark, sf_dir):
+    """Triples given as a list, each from three words of the text."""
+    words = F.filter(F.split(F.translate("abstract", "\n", " "), " "), lambda w: w != "")
+    rows = papers(spark, sf_dir).select("doc_id", words.alias("w"), F.lit("").alias("clean"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: 3 * i + 2 < F.size("w"))
+    triples = F.transform(places, lambda i: F.struct(F.get("w", 3 * i).alias("s"), F.get("w", 3 * i + 1).alias("r"), F.get("w", 3 * i + 2).alias("o")))
+    return S.select_text(rows.withColumn("triples", triples), "triples")
+
+
+@query("split_sample", """
+WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id) AS place FROM documents)
+SELECT doc_id, CASE WHEN place <= 600 THEN 'cluster' ELSE 'class' END AS split FROM k""")
+def _(spark, sf_dir):
+    return S.split_sample(table(spark, sf_dir, "documents").select("doc_id"), 600)
+
+
 @query("text_representations", f"""
 WITH c AS (SELECT doc_id, {sql_clean('text')} AS clean FROM documents)
 SELECT doc_id, concat(clean, ' ', '(unk, unk, unk)') AS abstract_triples,
@@ -125,19 +152,30 @@ def _(spark, sf_dir):
     )
 
 
-@query("stratified_split", """
-WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', doc_id)), doc_id) AS rn FROM documents),
-sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+def _stratified_sql(label: str) -> str:
+    return f"""
+WITH docs AS (SELECT doc_id, {label} AS lang FROM documents),
+d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', doc_id)), doc_id) AS rn FROM docs),
+sizes AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
 shares AS (SELECT lang, n * w / t AS share, w FROM
   (SELECT lang, n, sum(n) OVER () AS t, ceil(round(0.2::DOUBLE * sum(n) OVER (), 9)) AS w FROM sizes)),
 ranked AS (SELECT lang, floor(share) AS base, w - sum(floor(share)) OVER () AS missing,
-  row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, lang) AS place FROM shares),
+  row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, lang NULLS FIRST) AS place FROM shares),
 quota AS (SELECT lang, base + (CASE WHEN place <= missing THEN 1 ELSE 0 END) AS q FROM ranked)
-SELECT doc_id, d.lang, CASE WHEN rn <= q THEN 'val' ELSE 'train' END AS split FROM d JOIN quota ON d.lang = quota.lang""")
+SELECT doc_id, d.lang, CASE WHEN rn <= q THEN 'val' ELSE 'train' END AS split FROM d JOIN quota ON d.lang IS NOT DISTINCT FROM quota.lang"""
+
+
+@query("stratified_split", _stratified_sql("lang"))
 def _(spark, sf_dir):
     return S.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
 
 
+@query("stratified_split_null_label", _stratified_sql("nullif(lang, 'fr')"))
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"))
+    return S.stratified_split(docs, "lang")
+
+
 # ---- text functions --------------------------------------------------------------------------
 
 
@@ -198,7 +236,10 @@ def _props_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     line = (
-        F.when(kind == "error", F.concat(F.lit("error "), "props"))
+        F.when((kind == "error") & (F.col("event_id") % 3 == 0), F.concat(F.to_json(F.struct("props", kind.alias("categories"))), F.lit(" trailing")))
+        .when(kind == "error", F.concat(F.lit("error "), "props"))
+        .when((kind == "purchase") & (F.col("event_id") % 2 == 0),
+              F.concat(F.lit('{"abstract":"NaN is text","score":NaN,"low":-Infinity,"categories":"'), kind, F.lit('"}')))
         .when(kind == "click", F.to_json(F.struct(F.lit(" ").alias("abstract"), kind.alias("categories"))))
         .when(kind == "view", F.to_json(F.struct(F.col("value").alias("abstract"))))
         .otherwise(F.to_json(F.struct(F.col("props").alias("abstract"), kind.alias("categories"))))
@@ -218,6 +259,16 @@ def _(spark, sf_dir):
     return P.quality_counters(profile_scan(spark, _props_lines(spark, sf_dir)))
 
 
+@query("read_jsonl_mixed", """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS at, event_type,
+       CASE WHEN event_type = 'click' THEN ' ' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'NaN is text' ELSE props END AS abstract
+FROM events QUALIFY event_type NOT IN ('error', 'view')""")
+def _(spark, sf_dir):
+    """Lines of mixed quality: text behind the object, bare non-finite numbers, missing fields."""
+    return read_jsonl(spark, _props_lines(spark, sf_dir)).select(
+        F.col("doc_id").alias("at"), F.col("categories").alias("event_type"), "abstract")
+
+
 @query("dataset_summary", f"""
 WITH {_TOKENS}, d AS (SELECT count(DISTINCT subcategory) AS unique_subcategories,
   count(DISTINCT split_part(subcategory, '.', 1)) AS unique_top_categories FROM t)

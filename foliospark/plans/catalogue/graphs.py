@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.operators import triples as E
 from foliospark.operators.shared import spread
-from foliospark.operators.annotate import ENTITY_SCHEMA, annotate, capitalised_entities
 from foliospark.plans.catalogue.registry import WS, papers, query, sql_words, table
 
 # ---- graph texts: the words of a document, taken by threes, as its triples ---------------------
@@ -119,9 +118,11 @@ def _tokens(spark, sf_dir):
 
 
 def _entities(spark, sf_dir):
-    """The first two words of each document as its named entities."""
-    words = F.slice(F.filter(F.split(F.translate("text", "\n", " "), " "), lambda w: w != ""), 1, 2)
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("ent_idx", "text")).withColumn("label", F.lit("ORG"))
+    """The first two words of each line as named entities."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
+    words = F.slice(F.filter(F.split("line", " "), lambda w: w != ""), 1, 2)
+    return lines.select("doc_id", "sent_id", F.posexplode(words).alias("i", "text")).select(
+        "doc_id", (2 * F.col("sent_id") + F.col("i")).alias("ent_idx"), "text", F.lit("ORG").alias("label"))
 
 
 _TOKENS = """
@@ -148,11 +149,11 @@ prep AS (SELECT t.doc_id, t.head_id, arg_max(pobj, t.tok_id) AS pobj FROM tokens
 args AS (SELECT v.doc_id, v.tok_id, v.sent_id::INT AS sent_id, lower(v.lemma) AS relation, subj, coalesce(obj, pobj) AS obj FROM tokens v
   LEFT JOIN subj s ON v.doc_id = s.doc_id AND v.tok_id = s.head_id LEFT JOIN obj o ON v.doc_id = o.doc_id AND v.tok_id = o.head_id
   LEFT JOIN prep p ON v.doc_id = p.doc_id AND v.tok_id = p.head_id WHERE v.pos = 'VERB'),
-ew AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')[1:2] AS ws FROM documents),
-entities AS (SELECT doc_id, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS ent_idx FROM ew),
+ew AS (SELECT doc_id, sent_id, list_filter(string_split(line, ' '), lambda w: w <> '')[1:2] AS ws FROM l),
+entities AS (SELECT doc_id, unnest(ws) AS text, 2 * sent_id + generate_subscripts(ws, 1) - 1 AS ent_idx FROM ew),
 inserted AS (SELECT doc_id, text AS node, ent_idx AS ord, 'ORG' AS type FROM entities
-  UNION ALL SELECT doc_id, subj, 10 + tok_id * 2, 'ARG' FROM args WHERE subj IS NOT NULL
-  UNION ALL SELECT doc_id, obj, 11 + tok_id * 2, 'ARG' FROM args WHERE obj IS NOT NULL),
+  UNION ALL SELECT doc_id, subj, 1000000000 + tok_id * 2, 'ARG' FROM args WHERE subj IS NOT NULL
+  UNION ALL SELECT doc_id, obj, 1000000001 + tok_id * 2, 'ARG' FROM args WHERE obj IS NOT NULL),
 nodes AS (SELECT doc_id, node, min(ord) AS ord, arg_max(type, ord) AS type FROM inserted GROUP BY 1, 2),
 edges AS (SELECT doc_id, subj AS src, obj AS dst, arg_max(relation, tok_id) AS relation, arg_max(sent_id, tok_id) AS sent_id, min(tok_id) AS ord
   FROM args WHERE subj IS NOT NULL AND obj IS NOT NULL GROUP BY 1, 2, 3)"""
@@ -174,9 +175,11 @@ def _(spark, sf_dir):
     return E.graph_nodes(args, _entities(spark, sf_dir)).select("doc_id", "node", "type")
 
 
-@query("graph_edges", f"WITH {_TOKENS} SELECT * FROM edges")
+@query("graph_edges", f"""WITH {_TOKENS}, s AS (SELECT doc_id, sent_id, string_agg(text, ' ' ORDER BY tok_id) AS sentence FROM tokens GROUP BY 1, 2)
+SELECT e.*, s.sentence FROM edges e JOIN s ON e.doc_id = s.doc_id AND e.sent_id = s.sent_id""")
 def _(spark, sf_dir):
-    return E.graph_edges(E.verb_arguments(_tokens(spark, sf_dir)))
+    tokens = _tokens(spark, sf_dir)
+    return E.with_sentences(E.graph_edges(E.verb_arguments(tokens)), tokens)
 
 
 @query("document_prose", f"""
@@ -191,10 +194,3 @@ FROM documents d LEFT JOIN nt ON d.doc_id = nt.doc_id LEFT JOIN et ON d.doc_id =
 def _(spark, sf_dir):
     graphs = E.document_graphs(_tokens(spark, sf_dir), _entities(spark, sf_dir), papers(spark, sf_dir))
     return graphs.select("doc_id", "prose")
-
-
-@query("rule_annotated_prose")
-def _(spark, sf_dir):
-    docs = spread(papers(spark, sf_dir))
-    return E.document_graphs(annotate(docs), annotate(docs, capitalised_entities, schema=ENTITY_SCHEMA), docs).select(
-        "doc_id", F.size("nodes").alias("n_nodes"), F.size("triples").alias("n_triples"), "prose")

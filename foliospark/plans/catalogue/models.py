@@ -110,7 +110,7 @@ def _(spark, sf_dir):
 @query("encode_ids", f"""
 WITH w AS (SELECT doc_id, {sql_words('lower(text)')} AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
-n AS (SELECT word, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, word LIMIT 5000),
+n AS (SELECT word, count(*) AS n FROM x GROUP BY 1),
 v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS token_id FROM n),
 i AS (SELECT doc_id, list(coalesce(token_id, 1) ORDER BY place) AS ids FROM x LEFT JOIN v USING (word) WHERE place <= 128 GROUP BY 1),
 a AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN i ON d.doc_id = i.doc_id)
@@ -118,5 +118,5 @@ SELECT doc_id, array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN
   array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask FROM a""")
 def _(spark, sf_dir):
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ids = K.encode_ids(texts, K.vocabulary(texts, 5000))
+    ids = K.encode_ids(texts, K.vocabulary(texts))
     return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))

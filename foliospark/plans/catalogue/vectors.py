@@ -59,17 +59,19 @@ def word_vectors(spark, sf_dir):
     """The words of ``benchmark``, hashed onto the rows of ``embeddings``."""
     words = table(spark, sf_dir, "benchmark").select(F.explode_outer(T.word_list(T.clean_text(F.col("text")))).alias("word")).where("word is not null").distinct()
     e = table(spark, sf_dir, "embeddings")
-    slot = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % 500
+    slot = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % max(1, e.count())
     return words.withColumn("vec_id", slot).join(e, "vec_id").select("word", "embedding")
 
 
 @query("mean_pool", f"""
 WITH bw AS (SELECT DISTINCT unnest({sql_words(sql_clean('text'))}) AS word FROM benchmark),
-wv AS (SELECT word, embedding FROM bw JOIN embeddings ON vec_id = ('0x' || md5(word)[1:6])::BIGINT % 500),
+wv AS (SELECT word, embedding FROM bw JOIN embeddings ON vec_id = ('0x' || md5(word)[1:6])::BIGINT % (SELECT count(*) FROM embeddings)),
 dw AS (SELECT doc_id, unnest({sql_words(sql_clean('text'))}[1:256]) AS word FROM documents),
 x AS (SELECT doc_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM dw JOIN wv USING (word)),
-a AS (SELECT doc_id, i, avg(e::DOUBLE) AS e FROM x GROUP BY 1, 2)
-SELECT doc_id, (i - 1)::INT AS i, round(e, 5) + 0.0 AS value FROM a""")
+a AS (SELECT doc_id, i, avg(e::DOUBLE) AS e FROM x GROUP BY 1, 2),
+w AS (SELECT max(len(embedding)) AS n FROM embeddings),
+g AS (SELECT doc_id, unnest(range(1, n + 1)) AS i FROM documents, w)
+SELECT g.doc_id, (g.i - 1)::INT AS i, round(coalesce(e, 0), 5) + 0.0 AS value FROM g LEFT JOIN a ON g.doc_id = a.doc_id AND g.i = a.i""")
 def _(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", T.word_list(T.clean_text(F.col("text"))).alias("tokens"))
     return entries(E.mean_pool(docs, word_vectors(spark, sf_dir)), "doc_id", F.col("embedding"))

@@ -30,11 +30,11 @@ class Outcome:
 
 
 def prepare(records: DataFrame, cfg: PipelineConfig, tokens: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
-    """Seeded split and text columns of ``doc_id, abstract, categories``.
+    """Text columns of ``doc_id, abstract, categories``, and a seeded split: a fitting sample, and all others.
 
     Without parsed ``tokens`` the built-in rule annotator runs.
     """
-    chosen = materialise(sampling.split_first_n(records, cfg.n_clustering, cfg.n_classifier, seed=cfg.seed))
+    chosen = materialise(sampling.split_sample(records, cfg.n_clustering, seed=cfg.seed))
     tokens = annotate(chosen) if tokens is None else tokens.join(chosen.select("doc_id"), "doc_id", "left_semi")
     entities = annotate(chosen, capitalised_entities, schema=ENTITY_SCHEMA) if entities is None else entities.join(
         chosen.select("doc_id"), "doc_id", "left_semi")
@@ -67,7 +67,9 @@ def run(records: DataFrame, cfg: PipelineConfig | None = None) -> Outcome:
     dropped = sampling.rare_count(assigned, "cluster_id", cfg.min_group_size).first()[0]
     kept = sampling.drop_rare(assigned, "cluster_id", cfg.min_group_size)
     labelled = sampling.label_encode(kept, "cluster_id").select("doc_id", "cluster_id", "cluster_id_enc")
-    training = to_classify.join(labelled, "doc_id")
+    # the classifier may learn from a bounded sample of the labelled rows; every row has its cluster all the same
+    taught = sampling.split_first_n(labelled, cfg.n_classifier, 0, seed=cfg.seed).select("doc_id", "cluster_id_enc")
+    training = to_classify.join(taught, "doc_id")
     trials = classify.search(training, cfg.class_mode, "cluster_id_enc", cfg.n_trials, cfg.validation_fraction, cfg.seed, cfg.parallelism)
     both = clustered.select("cluster_id", "top_category", F.lit("cluster").alias("split")).unionByName(
         assigned.select("cluster_id", "top_category", F.lit("class").alias("split")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators.shared import small_side
+from foliospark.operators.shared import materialise, small_side
 
 # Fixed value: the key order and duplicate-key rule of the input's own parser (last one wins).
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
@@ -29,17 +29,43 @@ def numbered_lines(spark: SparkSession, path: str, limit: int | None = None) ->
         scan.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
         .select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    lines = scan.join(small_side(blocks, 1_000_000), ["_file", "_start"]).select(
+    if limit is not None:
+        # blocks past the limit are never read again: their files and offsets are filtered in the scan
+        blocks = materialise(blocks).where(F.col("_offset") < limit)
+    lines = scan.join(small_side(blocks), ["_file", "_start"]).select(
         (F.col("_offset") + F.col("_mid") - F.col("_first")).alias("line_no"), "raw", "_file", "_start"
     )
     return lines if limit is None else lines.where(F.col("line_no") < limit)
 
 
+# Bare non-finite numbers outside strings: the rest of the line must be whole strings and other characters.
+NON_FINITE = r'-?(?:NaN|Infinity)(?=(?:[^"\\]++|"(?:[^"\\]++|\\.)*+")*+$)'
+
+
+def json_value(raw: F.Column) -> F.Column:
+    """The line as a variant, null if it is not one JSON value and nothing else.
+
+    A parser that stops after the first value would take a line with more text behind it, so the line is parsed as the one
+    item of a list, and of an object where it could close that list itself. The input's own parser also takes the bare
+    numbers NaN, Infinity and -Infinity; they read as null here.
+    """
+    def whole(text: F.Column) -> F.Column:
+        items = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        one = F.variant_get(items, "$[0]", "variant")
+        alone = F.variant_get(items, "$[1]", "variant").isNull()
+        closes = text.rlike(r"\}\s*\]")
+        held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+        return F.when(alone & (~closes | held), one)
+
+    odd = raw.rlike("NaN|Infinity")
+    return F.coalesce(whole(raw), F.when(odd, whole(F.regexp_replace(raw, NON_FINITE, "null"))))
+
+
 def _parsed(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+    # read when the plan runs, so it stays set for the session: of equal keys the last one wins
     spark.conf.set(DUPLICATE_KEYS, "true")
-    v = F.try_parse_json("raw")
     is_object = F.schema_of_variant("v").startswith("OBJECT")
-    return numbered_lines(spark, path, limit).withColumn("v", v).withColumn(
+    return numbered_lines(spark, path, limit).withColumn("v", json_value(F.col("raw"))).withColumn(
         "parsed", F.coalesce(is_object, F.lit(False))
     )
 

@@ -28,7 +28,7 @@ def test_whole_run(spark):
     cfg = PipelineConfig(n_clustering=50, n_classifier=40, n_trials=3, encoders=("tfidf_hash",), min_cluster_sizes=(5,), max_k=3)
     out = run(records(spark), cfg)
     assert out.best["ari"] > 0.3
-    assert out.clustered.count() == 50 and out.assigned.count() == 40
+    assert out.clustered.count() == 50 and out.assigned.count() == 40  # all others
     assert {r["algorithm"] for r in out.comparison.collect()} == {"KMeans", "GMM", "HDBSCAN"}
     done = K.completed(out.trials)
     assert done.count() >= 2 and 0 <= out.best_trial["value"] <= 1
@@ -67,7 +67,8 @@ def test_draws_are_seeded_and_in_range():
     assert a == b and len(a) == 24
     for t in a:
         lo, hi = K.RATES[t.model_name]
-        assert lo <= t.lr <= hi and t.batch in K.BATCHES and 1 <= t.epochs <= 8
+        assert lo <= t.lr <= hi and t.batch in (None, *K.BATCHES) and (t.epochs is None or 1 <= t.epochs <= 8)
+        assert (t.batch is not None, t.epochs is not None) == ("batch" in K.DRAWS[t.model_name], "epochs" in K.DRAWS[t.model_name])
     assert {t.model_name for t in K.draw_trials(200)} == set(K.RATES)
 
 
@@ -81,7 +82,8 @@ def test_failed_trials_are_filtered(spark):
 
 def test_token_ids(spark):
     texts = spark.createDataFrame([(1, "a a b"), (2, "c a"), (3, "")], "doc_id long, text string")
-    vocab = K.vocabulary(texts, 2)
+    assert {r["word"]: r["token_id"] for r in K.vocabulary(texts).collect()} == {"a": 2, "b": 3, "c": 4}
+    vocab = K.vocabulary(spark.createDataFrame([(1, "a a b b c")], "doc_id long, text string"), 2)
     assert {r["word"]: r["token_id"] for r in vocab.collect()} == {"a": 2, "b": 3}
     got = {r["doc_id"]: r for r in K.encode_ids(texts, vocab, 4).collect()}
     assert got[1]["input_ids"] == [2, 2, 3, 0] and got[1]["attention_mask"] == [1, 1, 1, 0]
