@@ -41,8 +41,8 @@ def test_components_are_those_of_all_pairs(spark):
 
 def test_no_pair_is_met_twice(spark):
     fps = [0, 1, 3, 2**63 - 1, -1, 1 << 40]
-    frame = spark.createDataFrame([(x, x) for x in fps], "fp long, grp long")
-    met = [tuple(sorted(r)) for r in simhash._across(frame, 4).collect()]
+    frame = spark.createDataFrame([(x, x, x) for x in fps], "node long, fp long, grp long")
+    met = [tuple(sorted((r.a, r.b))) for r in simhash._across(frame, 4).collect()]
     want = {tuple(sorted((a, b))) for a in fps for b in fps if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     assert len(met) == len(set(met)) and set(met) == want
 
@@ -85,3 +85,19 @@ def test_signatures(spark):
     near = rows.select(spotsigs.likeness(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.lit(2), F.lit(3), F.lit(4))).alias("x"),
                        spotsigs.likeness(F.array(F.lit(1)), F.array(*[F.lit(i) for i in range(5)]), 0.5).alias("y")).first()
     assert near.x == 0.5 and near.y == 0.0
+
+
+def test_similar_documents_are_those_of_all_pairs(spark, prose, edges, nothing):
+    texts = [prose(120, i) for i in range(20)]
+    for i in range(8):
+        words = texts[i].split()
+        for k in range(3):
+            texts.append(" ".join([*words[:30 + k], f"new{k}", *words[31 + k:]]))
+        texts.append(" ".join(words[:60]))
+    texts += [texts[0], "", None, " ", "one", "One"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(len(texts), linked)
+    assert simhash.similar_documents(edges).count() == edges.count() and simhash.similar_documents(nothing).count() == 0
