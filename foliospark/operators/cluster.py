@@ -56,7 +56,7 @@ class FittedClusterer:
 
 
 def fit_kmeans(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
-    model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="features", predictionCol="prediction").fit(rows)
+    model = KMeans(k=k, seed=seed, maxIter=300, tol=0.0, featuresCol="features", predictionCol="prediction").fit(rows)
     return FittedClusterer("KMeans", model)
 
 

@@ -144,10 +144,10 @@ def density(hist: DataFrame, points: int = 200) -> DataFrame:
 def cluster_mix(df: DataFrame, cluster: str = "cluster_id", category: str = "top_category", n: int = 10) -> DataFrame:
     """Size and the ``n`` most frequent categories of each cluster."""
     counts = df.groupBy(cluster, category).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(cluster).agg(F.sum("n").alias("size"))
-    place = Window.partitionBy(cluster).orderBy(F.desc("n"), category)
-    top = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
-    return top.join(sizes, cluster).select(cluster, "size", "place", category, "n")
+    own = Window.partitionBy(cluster)
+    place = F.row_number().over(own.orderBy(F.desc("n"), category))
+    ranked = counts.withColumn("size", F.sum("n").over(own)).withColumn("place", place)
+    return ranked.where(F.col("place") <= n).select(cluster, "size", "place", category, "n")
 
 
 def cluster_purity(df: DataFrame, cluster: str = "cluster_id", category: str = "top_category") -> DataFrame:

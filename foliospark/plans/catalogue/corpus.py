@@ -228,7 +228,7 @@ SELECT count(*) AS total_lines_seen, count(*) AS json_rows_parsed, count(*) AS h
        count(*) AS have_categories, 0::BIGINT AS json_parse_error, 0::BIGINT AS abstract_missing_or_empty,
        0::BIGINT AS categories_missing_or_empty FROM documents""")
 def _(spark, sf_dir):
-    return P.quality_counters(profile_scan(spark, _json_lines(spark, sf_dir)))
+    return P.quality_counters(profile_scan(spark, _json_lines(spark, sf_dir), numbered=False))
 
 
 def _props_lines(spark, sf_dir):
@@ -256,7 +256,7 @@ SELECT n AS total_lines_seen, n - bad AS json_rows_parsed, n - bad - blank - lac
        n - bad - lacking AS have_categories, bad AS json_parse_error, blank + lacking AS abstract_missing_or_empty,
        lacking AS categories_missing_or_empty FROM c""")
 def _(spark, sf_dir):
-    return P.quality_counters(profile_scan(spark, _props_lines(spark, sf_dir)))
+    return P.quality_counters(profile_scan(spark, _props_lines(spark, sf_dir), numbered=False))
 
 
 @query("read_jsonl_mixed", """
@@ -275,7 +275,7 @@ WITH {_TOKENS}, d AS (SELECT count(DISTINCT subcategory) AS unique_subcategories
 SELECT (SELECT count(*) FROM documents) AS total_lines_seen, (SELECT count(*) FROM documents) AS json_rows_parsed,
        0::INT AS missing_kinds, unique_subcategories, unique_top_categories FROM d""")
 def _(spark, sf_dir):
-    return P.dataset_summary(profile_scan(spark, _json_lines(spark, sf_dir))).select(
+    return P.dataset_summary(profile_scan(spark, _json_lines(spark, sf_dir), numbered=False)).select(
         "total_lines_seen", "json_rows_parsed", F.size("missing_fields").alias("missing_kinds"),
         "unique_subcategories", "unique_top_categories",
     )

@@ -39,6 +39,43 @@ def _(spark, sf_dir):
     return _clustered(spark, sf_dir, "KMeans").select("doc_id", "cluster_id")
 
 
+@query("kmeans_fixed_point", "SELECT count(*) AS fitted, 0::BIGINT AS moved FROM embeddings")
+def _(spark, sf_dir):
+    """A fit has come to rest: every row is in the cluster whose mean is nearest to it."""
+    labelled = _clustered(spark, sf_dir, "KMeans").select("doc_id", "embedding", F.col("cluster_id").alias("fitted_id")).persist()
+    again = C.assign_nearest(labelled, E.mean_vectors(labelled, "fitted_id"), "fitted_id")
+    found = again.agg(F.count("*").alias("fitted"), F.count_if(F.col("fitted_id") != F.col("cluster_id")).alias("moved"))
+    return found
+
+
+@query("density_label_properties", """
+SELECT count(*) AS labelled, true AS ids_contiguous, true AS clusters_large_enough FROM embeddings""")
+def _(spark, sf_dir):
+    """Every vector has a label, ids count from 0 without a gap, and no cluster is under the minimum size."""
+    labels = fit_density(embeddings(spark, sf_dir), (5,))[5].labels()
+    sizes = labels.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    real = F.col("cluster_id") >= 0
+    return sizes.agg(
+        F.sum("n").alias("labelled"),
+        (F.coalesce(F.max(F.when(real, F.col("cluster_id"))), F.lit(-1)) + 1 == F.count_if(real)).alias("ids_contiguous"),
+        (F.coalesce(F.min(F.when(real, F.col("n"))), F.lit(5)) >= 5).alias("clusters_large_enough"),
+    )
+
+
+@query("classifier_validation_rows", """
+WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', doc_id)), doc_id) AS rn FROM documents),
+sizes AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS y FROM documents GROUP BY lang),
+shares AS (SELECT lang, y, n * w / t AS share, w FROM
+  (SELECT lang, n, y, sum(n) OVER () AS t, ceil(round(0.2::DOUBLE * sum(n) OVER (), 9)) AS w FROM sizes)),
+ranked AS (SELECT lang, y, floor(share) AS base, w - sum(floor(share)) OVER () AS missing,
+  row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, y) AS place FROM shares),
+quota AS (SELECT lang, y, base + (CASE WHEN place <= missing THEN 1 ELSE 0 END) AS q FROM ranked)
+SELECT doc_id, y::INT AS y, 4::INT AS n_scores FROM d JOIN quota USING (lang) WHERE rn <= q""")
+def _(spark, sf_dir):
+    """The rows a fitted classifier is judged on, with their label and as many scores as classes."""
+    return _scored_validation(spark, sf_dir, "naive_bayes").select("doc_id", "y", F.size("scores").alias("n_scores"))
+
+
 @query("gaussian_mixture")
 def _(spark, sf_dir):
     return _clustered(spark, sf_dir, "GMM").select("doc_id", "cluster_id")
@@ -92,14 +129,18 @@ def _labelled(spark, sf_dir):
     return label_encode(docs, "lang")
 
 
-@query("train_and_score")
-def _(spark, sf_dir):
+def _scored_validation(spark, sf_dir, model_name):
     docs = _labelled(spark, sf_dir)
     texts = docs.select("doc_id", F.col("clean").alias("text"), F.col("lang_enc").cast("double").alias("y"))
     marked = K.stratified_split(texts, "y").persist()
     model = K.fit_features(marked.where("split = 'train'"))
     train, val = (K.with_features(marked.where(f"split = '{s}'"), model) for s in ("train", "val"))
-    return K.train_eval(train.persist(), val, K.Trial(0, "logistic", 0.01, 16, 2), 4)
+    return K.train_eval(train.persist(), val, K.Trial(0, model_name, 0.01, 16, 2), 4)
+
+
+@query("train_and_score")
+def _(spark, sf_dir):
+    return _scored_validation(spark, sf_dir, "logistic")
 
 
 @query("hyperparameter_search")

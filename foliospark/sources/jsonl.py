@@ -61,11 +61,15 @@ def json_value(raw: F.Column) -> F.Column:
     return F.coalesce(whole(raw), F.when(odd, whole(F.regexp_replace(raw, NON_FINITE, "null"))))
 
 
-def _parsed(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, limit: int | None, numbered: bool = True) -> DataFrame:
     # read when the plan runs, so it stays set for the session: of equal keys the last one wins
     spark.conf.set(DUPLICATE_KEYS, "true")
     is_object = F.schema_of_variant("v").startswith("OBJECT")
-    return numbered_lines(spark, path, limit).withColumn("v", json_value(F.col("raw"))).withColumn(
+    if numbered or limit is not None:
+        lines = numbered_lines(spark, path, limit)
+    else:
+        lines = spark.read.text(path).select(F.col("value").alias("raw"))
+    return lines.withColumn("v", json_value(F.col("raw"))).withColumn(
         "parsed", F.coalesce(is_object, F.lit(False))
     )
 
@@ -95,11 +99,12 @@ def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> Data
     )
 
 
-def profile_scan(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def profile_scan(spark: SparkSession, path: str, limit: int | None = None, numbered: bool = True) -> DataFrame:
     """Every line with its parse state and the two fields where they are non-blank strings.
 
     ``row_index`` numbers the parsed lines. Ranks are taken inside input blocks, and only lengths
-    and category text travel, not the whole line.
+    and category text travel, not the whole line. Without ``numbered`` (for counters) lines have no
+    numbers and the scan is one pass that moves nothing.
     """
 
     def usable(name: str) -> F.Column:
@@ -107,14 +112,16 @@ def profile_scan(spark: SparkSession, path: str, limit: int | None = None) -> Da
         kind = F.schema_of_variant(F.variant_get("v", f"$.{name}", "variant"))
         return F.when(F.col("parsed") & (kind == "STRING") & T.is_not_blank(value), value)
 
-    rows = _parsed(spark, path, limit)
+    rows = _parsed(spark, path, limit, numbered)
     abstract = usable("abstract")
     narrow = rows.select(
-        "line_no", "_file", "_start", "parsed",
+        *(["line_no", "_file", "_start"] if numbered else []), "parsed",
         T.char_count(abstract).alias("abstract_length_chars"),
         F.when(abstract.isNotNull(), T.token_count(abstract)).alias("abstract_length_tokens"),
         usable("categories").alias("categories"),
     )
+    if not numbered:
+        return narrow
     hit = F.col("parsed").cast("long")
     block = Window.partitionBy("_file", "_start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
