@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from threading import Lock
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import metrics as M
+from foliospark.operators import mixture
 from foliospark.operators.density import DensityModel, fit_density, relabel_noise
 from foliospark.operators.shared import materialise
 
 CENTROID_BLOCK_VALUES = 4_000_000
 MIN_PARTITIONS = 8
 PARTITION_ROWS = 20_000
-MIXTURE_DIMS = (16, 8, 4)
-# side by side, mixture fits were seen to end in asymmetric covariances: one at a time
-MIXTURE_FITS = Lock()
 RESULT_SCHEMA = (
     "embedding string, algorithm string, k int, min_cluster_size int, clusters int, noise long, noise_frac double, "
     "ari double, nmi double, silhouette double, silhouette_kind string, composite double, error string"
@@ -61,27 +56,12 @@ def fit_kmeans(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
 
 
 def fit_mixture(rows: DataFrame, k: int, seed: int = 42) -> FittedClusterer:
-    """Gaussian mixture on scaled principal components.
-
-    Scaling does not change the model but keeps densities in range. Where a covariance still
-    degenerates, another start and then fewer components are tried.
-    """
-    width = len(rows.select("features").first()[0])
-    dims = [d for d in MIXTURE_DIMS if d < width] or [width]
-    failure = None
-    for d in dims:
-        for start in (seed, seed + 1):
-            stages = [
-                PCA(k=d, inputCol="features", outputCol="reduced"),
-                StandardScaler(withMean=True, inputCol="reduced", outputCol="scaled"),
-                GaussianMixture(k=k, seed=start, featuresCol="scaled", predictionCol="prediction"),
-            ]
-            try:
-                with MIXTURE_FITS:
-                    return FittedClusterer("GMM", Pipeline(stages=stages).fit(rows))
-            except Exception as e:
-                failure = e
-    raise failure
+    """Gaussian mixture in full width, started from KMeans."""
+    first = fit_kmeans(rows, k, seed).model.transform(rows).select("embedding", "prediction").persist()
+    try:
+        return FittedClusterer("GMM", mixture.fit_mixture(first, k))
+    finally:
+        first.unpersist()
 
 
 FITS = {"KMeans": fit_kmeans, "GMM": fit_mixture}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.config import PipelineConfig
@@ -9,6 +10,7 @@ from foliospark.functions import text as T
 from foliospark.operators import classify as K
 from foliospark.operators import cluster as C
 from foliospark.operators import embed as E
+from foliospark.operators import mixture
 from foliospark.operators import profile as P
 from foliospark.operators.density import fit_density
 from foliospark.operators.sampling import label_encode
@@ -39,6 +41,27 @@ def _(spark, sf_dir):
     return _clustered(spark, sf_dir, "KMeans").select("doc_id", "cluster_id")
 
 
+_START = ((0.1, 0.0, -0.1, 0.05), (-0.1, 0.05, 0.1, 0.0))
+
+
+@query("mixture_step", f"""
+WITH x AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings),
+l AS (SELECT *, {' , '.join(f"-0.5 * ((a - ({m[0]}))**2 + (b - ({m[1]}))**2 + (c - ({m[2]}))**2 + (d - ({m[3]}))**2) / 0.02 AS l{i}" for i, m in enumerate(_START))} FROM x),
+r AS (SELECT a, b, c, d, 1 / (1 + exp(l1 - l0)) AS r0 FROM l),
+p AS (SELECT 0 AS component, r0 AS r, a, b, c, d FROM r UNION ALL SELECT 1, 1 - r0, a, b, c, d FROM r),
+m AS (SELECT component, sum(r) AS n, sum(r * a) / sum(r) AS ma, sum(r * b) / sum(r) AS mb, sum(r * a * a) / sum(r) AS aa, sum(r * a * b) / sum(r) AS ab FROM p GROUP BY 1)
+SELECT component, round(n / (SELECT sum(n) FROM m), 6) AS weight, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b,
+       round(aa - ma * ma + 1e-5, 6) AS var_a, round(ab - ma * mb, 6) AS cov_ab FROM m""")
+def _(spark, sf_dir):
+    """One step of a mixture of two components over four dimensions, from fixed parameters."""
+    rows = embeddings(spark, sf_dir).select(F.slice("embedding", 1, 4).alias("embedding"))
+    start = mixture.Mixture(np.array([0.5, 0.5]), np.array(_START), np.stack([0.02 * np.eye(4)] * 2))
+    model, _ = mixture.em_step(rows, start)
+    found = [(j, float(model.weights[j]), *map(float, model.means[j][:2]), float(model.covariances[j][0, 0]), float(model.covariances[j][0, 1])) for j in range(2)]
+    out = spark.createDataFrame(found, "component int, weight double, mean_a double, mean_b double, var_a double, cov_ab double")
+    return out.select("component", *[(F.round(c, 6) + 0.0).alias(c) for c in out.columns[1:]])
+
+
 @query("kmeans_fixed_point", "SELECT count(*) AS fitted, 0::BIGINT AS moved FROM embeddings")
 def _(spark, sf_dir):
     """A fit has come to rest: every row is in the cluster whose mean is nearest to it."""
