@@ -28,6 +28,7 @@ def top_n(counts: DataFrame, name: str, n: int = 40) -> DataFrame:
 
 def quality_counters(scan: DataFrame) -> DataFrame:
     """Counters over the rows of ``profile_scan``, in one pass."""
+    # The names of the report's counters.
     parsed = F.col("parsed")
     no_abstract = parsed & F.col("abstract_length_chars").isNull()
     no_categories = parsed & F.col("categories").isNull()

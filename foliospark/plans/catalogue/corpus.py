@@ -223,6 +223,7 @@ def _(spark, sf_dir):
     return P.distinct_categories(papers(spark, sf_dir))
 
 
+# Fixed values in the SQL below: the names of the report's counters.
 @query("quality_counters", """
 SELECT count(*) AS total_lines_seen, count(*) AS json_rows_parsed, count(*) AS have_abstract,
        count(*) AS have_categories, 0::BIGINT AS json_parse_error, 0::BIGINT AS abstract_missing_or_empty,

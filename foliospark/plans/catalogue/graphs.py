@@ -182,6 +182,7 @@ def _(spark, sf_dir):
     return E.with_sentences(E.graph_edges(E.verb_arguments(tokens)), tokens)
 
 
+# Fixed values in the SQL below: the frame of the prose and its relation words.
 @query("document_prose", f"""
 WITH {_TOKENS},
 nt AS (SELECT doc_id, string_agg(node, ', ' ORDER BY node) AS names FROM nodes GROUP BY 1),
