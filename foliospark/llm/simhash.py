@@ -212,7 +212,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["h", "s"])
 
     pairs = materialise(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = pairs.select(F.col("a").alias("h")).distinct().union(pairs.select(F.col("b").alias("h")).distinct()).distinct()
     own = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     sets = materialise(by_batch(own.select("h", F.col("text").cast("binary").alias("text")), "h long, s array<bigint>", one))
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
