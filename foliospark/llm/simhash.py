@@ -33,6 +33,8 @@ SEED = 42
 AT_ONCE, TURNS = 1 << 16, 2
 #: At a Jaccard of 0.8 a tenth of the sketch's bits differ, 25.6 give or take 4.8; the bound is 3.4 deviations beyond.
 SKETCH_BITS, SKETCH_DIFFERS = 256, 42
+#: A pair at a Jaccard of 0.8 shares a band with probability 1 - (1 - 0.8 ** 6) ** 42. A turn of leaders takes one in ``LED`` bands.
+BANDS, BAND_ROWS, LED = 42, 6, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,29 +182,67 @@ def shingle_set(data: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i:i + words]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """``SKETCH_BITS`` one-bit min-hashes of a shingle set, as longs. Two sets with Jaccard J differ in (1 - J) / 2 of the bits."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """``SKETCH_BITS`` min-hashes of a shingle set; two sets with Jaccard J agree in each with probability J."""
     least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
         least = np.minimum(least, (shingles[i:i + 2048].view(np.uint64)[:, None] * MULTIPLIERS).min(axis=0))
+    return least
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash, as longs. Two sets with Jaccard J differ in (1 - J) / 2 of the bits."""
     return np.packbits((least >> np.uint64(32)) & np.uint64(1) == 1, bitorder="little").view("<i8")
 
 
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` min-hashes, which sets share if they agree in all of the group."""
+    return (least[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS) * MULTIPLIERS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(id, h, fp, sketch0, ...)``: of each text a hash, the fingerprint of its different words and the sketch of its shingles."""
+    """``(id, h, bands, sketch0, ...)``: of each text a hash, and the band keys and the sketch of its shingles."""
     n = SKETCH_BITS // 64
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        found = np.array([simhash(x, 1, True) for x in texts], dtype=np.uint64).view(np.int64)
-        bits = np.array([sketch(shingle_set(x, words)) for x in texts]).reshape(-1, n)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(n)]],
-                                          ["id", "h", "fp", *[f"sketch{i}" for i in range(n)]])
+        least = [minima(shingle_set(x, words)) for x in batch.column(2).to_pylist()]
+        bits = np.array([sketch(x) for x in least]).reshape(-1, n)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bands(x) for x in least], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(n)]],
+                                          ["id", "h", "bands", *[f"sketch{i}" for i in range(n)]])
 
     text = F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     kinds = ", ".join(f"sketch{i} long" for i in range(n))
-    return by_batch(rows, f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long, {kinds}", one)
+    return by_batch(rows, f"id {rows.schema['id'].dataType.simpleString()}, h long, bands array<bigint>, {kinds}", one)
+
+
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """``(node, band, key)``: the band keys of ``nodes(node, bands)`` that more than one node has."""
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    live = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(keys.join(live, ["band", "key"], "left_semi"))
+
+
+def _band_leaders(keys: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """``(a, b, ga, gb)``: nodes and the first node, in an order of ``turn``, that shares one of the turn's bands with them."""
+    bits = [c for c in nodes.columns if c.startswith("sketch")]
+    rows = keys.where(F.col("band") % LED == turn).join(nodes.select("node", "grp", *bits), "node")
+    led = rows.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "grp", *bits)).alias("to"))
+    near = (F.col("grp") != F.col("to.grp")) & _sketch_near([F.col(c) for c in bits], [F.col(f"to.{c}") for c in bits])
+    return rows.join(led, ["band", "key"]).where(near).select(
+        F.col("node").alias("a"), F.col("to.node").alias("b"), F.col("grp").alias("ga"), F.col("to.grp").alias("gb")).distinct()
+
+
+def _band_pairs(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, ga, gb)``: all pairs of different groups that share a band and are near in the sketch; keys of one group only are not paired."""
+    bits = [c for c in nodes.columns if c.startswith("sketch")]
+    rows = keys.join(nodes.select("node", "grp", *bits), "node")
+    mixed = rows.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    rows = materialise(rows.join(mixed, ["band", "key"], "left_semi").select("band", "key", "node", "grp", *bits))
+    left = rows.toDF("band", "key", "a", "ga", *[f"x{c}" for c in bits])
+    right = rows.toDF("band", "key", "b", "gb", *[f"y{c}" for c in bits])
+    near = _sketch_near([F.col(f"x{c}") for c in bits], [F.col(f"y{c}") for c in bits])
+    return left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & near).select("a", "b", "ga", "gb").distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -220,20 +260,23 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     return met.where(both >= F.lit(least) * (n + m - both)).select(*pairs.columns)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8,
-                      max_bits: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """``(id, h, component_id)`` for each row: classes of texts that share ``least`` of their shingles of ``words`` words.
 
-    Candidates are near in the fingerprint of their different words, which an edited word moves least (of pairs at 0.8 in
-    invented prose 77 in a hundred are within four bits and 95 within six); the signatures find them as above, a sketch of
-    the shingles rules out pairs far from 0.8 inside the join, and the shingle sets decide. A text is one node, however many
-    rows have it, so copies are never paired.
+    Candidates share one of ``BANDS`` bands of the min-hashes of their shingles, whatever the edit that parts them: at 0.8 three
+    pairs in a million share none. A sketch rules out pairs far from 0.8 inside the join (three in ten thousand at 0.8 itself), and
+    the shingle sets decide. A text is one node, however many rows have it, so copies are never paired; dense groups contract round
+    leaders before all pairs of different groups are met.
     """
     each = materialise(_sketched(docs, id_col, text_col, words))
     texts = docs.select(F.xxhash64(F.coalesce(column(text_col), F.lit(""))).alias("h"), column(text_col).alias("text"))
     bits = [c for c in each.columns if c.startswith("sketch")]
-    nodes = materialise(each.groupBy(F.col("h").alias("node")).agg(*[F.min(c).alias(c) for c in ("fp", *bits)], F.min("id").alias("low")))
-    classed = _classes(nodes, max_bits, lambda pairs: _alike(pairs, texts, words, least), turns=TURNS)
+    found = materialise(each.groupBy(F.col("h").alias("node")).agg(*[F.min(c).alias(c) for c in bits], F.first("bands").alias("bands"), F.min("id").alias("low")))
+    keys = _shared_keys(found)
+    nodes = found.drop("bands").withColumn("grp", F.col("node"))
+    for turn in range(TURNS):
+        nodes = _merged(nodes, _alike(_band_leaders(keys, nodes, turn), texts, words, least))
+    classed = _merged(nodes, _alike(_band_pairs(keys, nodes), texts, words, least))
     lowest = classed.groupBy("grp").agg(F.min("low").alias("component_id"))
     named = classed.join(lowest, "grp").select(F.col("node").alias("h"), "component_id")
     return each.join(named, "h").select("id", "h", "component_id")

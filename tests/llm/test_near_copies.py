@@ -101,3 +101,17 @@ def test_similar_documents_are_those_of_all_pairs(spark, prose, edges, nothing):
     got = {r.id: r.component_id for r in simhash.similar_documents(rows).collect()}
     assert [got[i] for i in range(len(texts))] == groups(len(texts), linked)
     assert simhash.similar_documents(edges).count() == edges.count() and simhash.similar_documents(nothing).count() == 0
+
+
+def test_similar_documents_finds_appended_cut_and_replaced_copies(spark, prose):
+    texts = []
+    for i in range(30):
+        words = prose(400, 1000 + i).split()
+        other = prose(80, 2000 + i).split()
+        texts += [" ".join(w) for w in (words, words + other[:70], words[:340], words[:150] + other[:30] + words[180:])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len({i for i, _ in linked}) == 90
+    got = {r.id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(len(texts), linked)
