@@ -148,7 +148,10 @@ def _scored(met: DataFrame, d: int, k: int) -> DataFrame:
                 nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
                 near = (y / ny[:, None]) @ (x / nx[:, None]).T
                 near[q[:, None] == i] = -np.inf
-                least = -np.partition(-near, k - 1, axis=1)[:, k - 1] if len(i) > k else np.full(len(q), -2.0)
+                by_id = np.argsort(i, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(i[by_id]) != 0))
+                once = np.maximum.reduceat(near[:, by_id], first, axis=1) if len(first) < len(i) else near  # an id counts once
+                least = -np.partition(-once, k - 1, axis=1)[:, k - 1] if once.shape[1] > k else np.full(len(q), -2.0)
                 r, c = np.nonzero(near >= np.maximum(least, -2.0)[:, None] - 1e-9)
                 score = (y[r] * x[c]).sum(1) / (ny[r] * nx[c])  # the same sum for a pair wherever it meets
                 held.append((q[r], i[c], score))

@@ -155,3 +155,10 @@ def test_neighbours_against_all_pairs(spark):
     own = sorted((r.query, r.rank, r.id, round(r.score, 6)) for r in ann.nearest(few, few.where("vec_id % 50 = 0")).collect())
     assert own == [(0, 1, 7, 0.707107), (0, 2, 50, 0.0), (50, 1, 7, 0.707107), (50, 2, 0, 0.0)]
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_an_id_that_stands_more_than_k_times_is_one_neighbour(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [1.0, 0.1])] * 6 + [(i, [1.0, 0.1 + 0.1 * i]) for i in range(1, 6)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r.rank, r.id) for r in ann.nearest(base, base.where("vec_id = 0")).collect())
+    assert got == [(1, 7), (2, 1), (3, 2), (4, 3), (5, 4)]
