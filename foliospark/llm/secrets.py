@@ -31,10 +31,15 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Names after which a value may be a credential, and what may stand between.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "login")
+#: A name may be a part of a longer one (``DB_PWD``, ``accessKeyId``); its value starts at group ``at``, so that a name there is still seen.
+REST = r"(?:[0-9_-]|(?<=[a-z])(?=[A-Z]))[A-Za-z0-9_-]*+"
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth|login)\b)"""
-    r"""["']?(?:\x20*(?:[:=]|=>|->)\x20*|\x20+(?ai:is|was|of|to)\x20+|\x20+)["'`(<]?([^\s"'`<>()\[\]{},;]{6,})"""
+    r"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?ai:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth|login)"""
+    rf"""(?:(?:{REST})?(?![A-Za-z0-9_])"""
+    r"""["']?(?:[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|[\x20\t]+(?ai:is|was|of|to)[\x20\t]+|[\x20\t]+)["'`(<]?(?=[^\s"'`<>()\[\]{},;]{6})(?P<at>)"""
+    rf"""|{REST})?"""
 )
+VALUE = re.compile(r"""[^\s"'`<>()\[\]{},;]+""")
 MIN_BITS = 36.0
 MAX_PART = 24
 
@@ -142,10 +147,13 @@ def guess_spans(text: str, base: list[tuple[int, str, int]], words: tuple[str, .
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = []
+    found, seen = [], 0
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
-        start, end = m.start(1), m.start(1) + len(value)
+        if m["at"] is None or m.end() < seen:
+            continue  # no value, or inside one that was judged as a whole
+        whole = VALUE.match(text, m.end())
+        value, seen = whole[0].rstrip(".:!?"), whole.end()
+        start, end = m.end(), m.end() + len(value)
         if len(value) < 6 or value.isalpha() and (value.islower() or value.istitle()):
             continue  # a plain word after "password" is prose
         if not any(a < end and start < b for a, _, b in base) and guess_bits(value, words) >= min_bits:

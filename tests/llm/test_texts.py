@@ -149,3 +149,14 @@ def test_secret_edges(spark, edges, nothing):
     assert secrets.scan(nothing, name="found").count() == 0
     one = spark.createDataFrame([("é token=abcdef123",)], "text string")
     assert [tuple(s) for s in secrets.scan(one).first().spans] == [(2, "assign", 17)]
+
+
+def test_values_of_joined_names_of_two_names_and_after_tabs_are_seen():
+    v = "9fJ2kLmQ8xZr4TnV"
+    for text in ("AWS_SECRET_ACCESS_KEY={}", "DB_PWD={}", "MYSQL_PWD: {}", "accessKeyId: {}", "login credentials: {}", "secret passphrase: {}",
+                 "auth private_key = {}", "pwd\t=\t{}", "pwd => {}", "the login -> '{}'", '"clientSecretV2": "{}"'):
+        text = text.format(v)
+        base = secrets.base_spans(text)
+        spans = base + secrets.guess_spans(text, base)
+        assert any(text[a:b].endswith(v) for a, _, b in spans), text
+    assert not any(secrets.guess_spans(t, []) for t in (f"secretary: {v}", f"the authors {v}", f"monkeypwd {v}"))
