@@ -19,8 +19,9 @@ from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foliospark.llm.common import add_columns
+from foliospark.llm.common import add_columns, column
 
 KINDS = ("assign", "access", "hex", "guess")
 # Fixed values of the base patterns.
@@ -42,6 +43,8 @@ CONTEXT = re.compile(
 VALUE = re.compile(r"""[^\s"'`<>()\[\]{},;]+""")
 MIN_BITS = 36.0
 MAX_PART = 24
+#: The corpus's own words that prose is spelt with.
+IN_DOCS, LIST_WORDS = 5, 100_000
 
 #: Common words and passwords, the commonest first; a caller may pass another list.
 WORDS = (
@@ -90,10 +93,9 @@ def _word_bits(part: str, ranks: dict[str, int]) -> float | None:
     return log2(rank + 2) + leet + (0 if not upper else 1 if upper in (1, len(part)) and (part[0].isupper() or upper == len(part)) else upper)
 
 
-def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
+def guess_bits(value: str, words: tuple = WORDS) -> float:
     """Bits of the cheapest segmentation of a value; each segment costs one bit more, for where it ends."""
-    ranks = _ranks(words)
-    longest = max(map(len, ranks), default=0)
+    ranks, longest = words if words and isinstance(words[0], dict) else _ranks(words)
     low, n = value.lower(), len(value)
     best = [0.0] + [float("inf")] * n
     run = walk = 0  # where the repeat and the walk that end here began
@@ -126,8 +128,17 @@ def guess_bits(value: str, words: tuple[str, ...] = WORDS) -> float:
 
 
 @lru_cache(maxsize=4)
-def _ranks(words: tuple[str, ...]) -> dict[str, int]:
-    return {w: i for i, w in enumerate(words)}
+def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
+    """Ranks of words, and the length of the longest; may stand for the words themselves."""
+    return {w: i for i, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
+    """``WORDS``, then the words of letters that most documents have; each is in ``IN_DOCS`` or more."""
+    words = F.explode(F.array_distinct(F.split(F.lower(column(text_col)), r"[^\p{L}]+")))
+    counts = docs.select(words.alias("w")).where(F.length("w").between(3, MAX_PART)).groupBy("w").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= IN_DOCS).orderBy(F.desc("n"), "w").limit(LIST_WORDS).collect()
+    return (*WORDS, *(r.w for r in rows))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -154,16 +165,17 @@ def guess_spans(text: str, base: list[tuple[int, str, int]], words: tuple[str, .
         whole = VALUE.match(text, m.end())
         value, seen = whole[0].rstrip(".:!?"), whole.end()
         start, end = m.end(), m.end() + len(value)
-        if len(value) < 6 or value.isalpha() and (value.islower() or value.istitle()):
-            continue  # a plain word after "password" is prose
+        if len(value) < 6:
+            continue
         if not any(a < end and start < b for a, _, b in base) and guess_bits(value, words) >= min_bits:
             found.append((start, "guess", end))
     return found
 
 
-def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: tuple[str, ...] = WORDS,
+def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: tuple[str, ...] | None = None,
          min_bits: float = MIN_BITS) -> DataFrame:
     """``docs`` with all spans, by start and then kind, as ``array<struct<start, kind, end>>`` under ``name``."""
+    ranks = _ranks(corpus_words(docs, text_col) if words is None else words)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def spans(texts: pa.Array) -> list[pa.Array]:
@@ -171,7 +183,7 @@ def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: tu
         for x in texts:
             text = x.as_py() or ""
             base = base_spans(text)
-            own = sorted(base + guess_spans(text, base, words, min_bits), key=lambda s: (s[0], KINDS.index(s[1])))
+            own = sorted(base + guess_spans(text, base, ranks, min_bits), key=lambda s: (s[0], KINDS.index(s[1])))
             out.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
         return [pa.array(out, kind)]
 

@@ -160,3 +160,10 @@ def test_values_of_joined_names_of_two_names_and_after_tabs_are_seen():
         spans = base + secrets.guess_spans(text, base)
         assert any(text[a:b].endswith(v) for a, _, b in spans), text
     assert not any(secrets.guess_spans(t, []) for t in (f"secretary: {v}", f"the authors {v}", f"monkeypwd {v}"))
+
+
+def test_values_of_letters_only_are_judged_by_the_words_of_the_corpus(spark):
+    prose = "the password is remembered by the innkeeper and the token is transferable"
+    rows = spark.createDataFrame([(prose,)] * 6 + [("pwd = qzjxkvbwplmtrhg",)], "text string")
+    got = [(r.text, [r.text[s["start"]:s["end"]] for s in r.spans]) for r in secrets.scan(rows).collect()]
+    assert got == [(prose, [])] * 6 + [("pwd = qzjxkvbwplmtrhg", ["qzjxkvbwplmtrhg"])]
