@@ -6,11 +6,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+CHUNK = 8192
 _FOLDERS: set[str] = set()
 
 
@@ -79,6 +85,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def task_sums(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum over all tasks of the flat array of doubles that ``fn`` makes of a task's batches; null if no task has one.
+
+    An array crosses the shuffle in chunks, and a chunk is added up by one task as its parts stream in: neither a task nor
+    the driver ever holds more than one array, however many tasks there are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = fn(batches)
+        if made is None:
+            return
+        for i in range(0, len(made), CHUNK):
+            values = pa.array([made[i:i + CHUNK]], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), values], ["chunk", "part"])
+
+    parts = rows.mapInArrow(run, "chunk int, part array<double>")
+    total = parts.groupBy("chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("total"))
+    found = sorted(total.collect())  # one array
+    return np.concatenate([np.array(r["total"]) for r in found]) if found else None
+
+
 def hash_key(id_col: str, seed: int) -> Column:
     """A random-looking order that depends on the seed and the id alone, not on partitioning."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
