@@ -10,8 +10,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,21 +86,26 @@ def spread(scan: DataFrame) -> DataFrame:
 def task_sums(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
     """The sum over all tasks of the flat array of doubles that ``fn`` makes of a task's batches; null if no task has one.
 
-    An array crosses the shuffle in chunks, and a chunk is added up by one task as its parts stream in: neither a task nor
-    the driver ever holds more than one array, however many tasks there are.
+    An array crosses the shuffle in chunks, and the task that a chunk is sent to adds its parts up as they stream in: neither
+    a task nor the driver ever holds more than one array, however many tasks there are.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = fn(batches)
-        if made is None:
-            return
-        for i in range(0, len(made), CHUNK):
-            values = pa.array([made[i:i + CHUNK]], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), values], ["chunk", "part"])
-
-    parts = rows.mapInArrow(run, "chunk int, part array<double>")
-    total = parts.groupBy("chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("total"))
-    found = sorted(total.collect())  # one array
-    return np.concatenate([np.array(r["total"]) for r in found]) if found else None
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = fn(batches)
+        if values is not None:
+            parts = [values[i:i + CHUNK].tobytes() for i in range(0, len(values), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(*[c.to_pylist() for c in batch.columns]):
+                values = np.frombuffer(part)
+                total[chunk] = total[chunk] + values if chunk in total else values
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "part"])
+
+    parts = rows.mapInArrow(made, "chunk int, part binary").repartition("chunk").mapInArrow(added, "chunk int, part binary")
+    found = sorted(parts.collect())  # one array
+    return np.concatenate([np.frombuffer(r["part"]) for r in found]) if found else None
 
 
 def hash_key(id_col: str, seed: int) -> Column:
