@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from foliospark.operators import profile as P
-from foliospark.sources.jsonl import numbered_lines, profile_scan, read_jsonl
+from foliospark.sources.jsonl import leading, numbered_lines, profile_scan, read_jsonl
 from foliospark.sources.sinks import append_results, write_csv, write_json
 
 LINES = [
@@ -67,6 +67,59 @@ def test_numbers_across_files_and_blocks(spark, tmp_path):
     assert got == dict(enumerate(want))
 
 
+def bytes_read(spark, action):
+    """The action's result, and the input bytes of all stages it ran."""
+    sc = spark.sparkContext
+
+    def total():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = total()
+    result = action()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return result, total() - before
+
+
+def test_a_limit_reads_only_the_first_files(spark, tmp_path):
+    want = []
+    for f in range(100):
+        lines = [f"{f} {i} " + "x" * 400 for i in range(200)]
+        (tmp_path / f"part-{f:03}[1].txt").write_text("\n".join(lines) + "\n")
+        want += lines
+    size = (tmp_path / "part-000[1].txt").stat().st_size
+    for limit, files in ((0, 0), (1, 1), (200, 1), (201, 2), (300, 2), (5000, 25), (20_000, 100), (30_000, 100)):
+        whole, last, _ = leading(spark, str(tmp_path), limit)
+        assert last is None and len(whole) == files
+        rows = numbered_lines(spark, str(tmp_path), limit).collect()
+        assert {r["line_no"]: r["raw"] for r in rows} == dict(enumerate(want[:limit])) and len(rows) == min(limit, len(want))
+    _, read = bytes_read(spark, lambda: numbered_lines(spark, str(tmp_path), 300).count())
+    assert read <= 3 * 2 * size * 1.1  # two files: the limit is found, lines are counted per block, lines are numbered
+
+
+def test_a_limit_reads_only_the_head_of_a_large_file(spark, tmp_path):
+    names = {"a.txt": 150, "b.txt": 40_000, "c.txt": 10}
+    want = []
+    for name, n in names.items():
+        lines = [f"{name} {i} " + "y" * 90 for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        for limit in (100, 150, 151, 4000, 30_000, 40_155, 50_000):
+            rows = numbered_lines(spark, str(tmp_path), limit).collect()
+            assert {r["line_no"]: r["raw"] for r in rows} == dict(enumerate(want[:limit])) and len(rows) == min(limit, len(want))
+        assert leading(spark, str(tmp_path), 4000)[2] == 3850
+        _, read = bytes_read(spark, lambda: numbered_lines(spark, str(tmp_path / "b.txt"), 1000).count())
+        assert 0 < read < 900_000 < (tmp_path / "b.txt").stat().st_size / 4
+        kept = read_jsonl(spark, lines_file(tmp_path / "..", LINES * 9000), 7)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_sinks(spark, tmp_path):
     freq = P.length_frequencies(spark.range(1, 101), F.col("id"))
     write_json(P.length_record(freq), str(tmp_path / "j"))
