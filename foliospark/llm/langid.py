@@ -15,7 +15,8 @@ Chains of any length are worked through in blocks: the blocks' transfer matrices
 them brings each block its left and right context, and both passes inside the blocks run side by side again. This is exact.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as all are if no text is labelled. Held-out
-rows are never learned from, rows without id are; rows with equal ids each keep their row. Extra columns pass through.
+rows are never learned from, rows without id are; rows with equal ids each keep their row. Extra columns pass
+through; ones named like the new columns are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import add_columns, column
 from foliospark.operators.shared import materialise, task_sums
 
-SLOTS, LEXICON, DOCS, STEPS, RATE, RIDGE = 1 << 16, 1 << 17, 300, 24, 0.15, 1e-5
+SLOTS, LEXICON, DOCS, STEPS, RATE, RIDGE = 1 << 15, 1 << 16, 300, 20, 0.15, 1e-5
 BLOCK, PIECE_CHARS, TOGETHER, STRETCH = 32, 1 << 20, 8, 20
 RUNS = re.compile(r"[^\W\d_]+")
 BEGIN, END = 2, 3
@@ -42,7 +43,8 @@ SPANS = "array<struct<start:int,end:int,lang:string,score:double>>"
 
 @dataclass(frozen=True)
 class Weights:
-    """``grams`` by slot and language, ``lexicon`` and ``bias`` by language, ``turns`` from one language to the next."""
+    """``grams`` by slot and language, ``lexicon`` and ``bias`` by language, ``turns`` from one language to the next; in single
+    precision, as they are sent to the tasks with every step."""
 
     grams: np.ndarray
     lexicon: np.ndarray
@@ -51,7 +53,7 @@ class Weights:
 
     @staticmethod
     def unflat(x: np.ndarray, k: int) -> Weights:
-        g = SLOTS * k
+        g, x = SLOTS * k, x.astype(np.float32)
         return Weights(x[:g].reshape(SLOTS, k), x[g:g + k], x[g + k:g + 2 * k], x[g + 2 * k:].reshape(k, k))
 
     def flat(self) -> np.ndarray:
@@ -104,7 +106,7 @@ class Features:
         self.n = len(words)
         self.word, self.slot = gram_slots(words)
         self.scale = 1 / np.sqrt(np.maximum(1, np.bincount(self.word, minlength=self.n)))
-        held = np.log((counts[lexicon_slots(words)] + 1) / (counts.sum(0) + LEXICON))
+        held = np.log((counts[lexicon_slots(words)] + 1.0) / (counts.sum(0, dtype=float) + LEXICON))
         self.held = held - held.mean(1, keepdims=True)
 
     def emissions(self, w: Weights) -> np.ndarray:
@@ -235,7 +237,7 @@ def _lexicon(rows: DataFrame, langs: tuple[str, ...]) -> np.ndarray:
         return own.ravel()
 
     total = task_sums(rows.select("text", "lang"), counted)
-    return total.reshape(LEXICON, len(langs)) if total is not None else np.zeros((LEXICON, len(langs)))
+    return (total if total is not None else np.zeros(LEXICON * len(langs))).reshape(LEXICON, len(langs)).astype(np.float32)
 
 
 def _sample(rows: DataFrame, counts: dict[str, int], docs: int) -> DataFrame:
@@ -292,6 +294,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model((), np.zeros((LEXICON, 0)))
     k, number = len(langs), {lang: j for j, lang in enumerate(langs)}
     lexicon = _lexicon(rows, langs)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # its size is set by LEXICON and the languages
     sample = materialise(_sample(rows, counts, most).repartition(len(langs) * most // 100 + 1, "_h").sortWithinPartitions("_h", "id", "text"))
     x, mean, square = np.zeros(SLOTS * k + 2 * k + k * k), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -304,7 +307,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 for piece in pieces(texts):
                     chains = chained([(words_of(texts[i]), number[of[i]]) for i in piece])
                     if len(chains[2]):
-                        total += log_likelihood(chains, lexicon, w)
+                        total += log_likelihood(chains, shared.value, w)
             return total
 
         total = task_sums(sample.select("text", "lang"), gradient)
@@ -313,9 +316,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         g = total[:-2] / total[-1] - RIDGE * x
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         x = x + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    shared.destroy()
     return Model(langs, lexicon, Weights.unflat(x, k))
 
 
+def _without(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(*[column(c) for c in docs.columns if c not in names])
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and its ``score``."""
     def made(column_of_texts: pa.Array) -> list[pa.Array]:
@@ -329,7 +337,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     lang[i], score[i] = model.langs[j], min(1.0, float(mean[j]))
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
-    return add_columns(docs, [text_col], [("lang_pred", "string"), ("score", "double")], made)
+    return add_columns(_without(docs, "lang_pred", "score"), [text_col], [("lang_pred", "string"), ("score", "double")], made)
 
 
 def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -346,4 +354,4 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return [{"start": at[a][0], "end": at[b - 1][1], "lang": model.langs[best[a]], "score": float(p[a:b, best[a]].mean())} for a, b in zip(cut, cut[1:])]
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
-    return add_columns(docs, [text_col], [("spans", SPANS)], lambda texts: [pa.array([of(t.as_py()) for t in texts], kind)])
+    return add_columns(_without(docs, "spans"), [text_col], [("spans", SPANS)], lambda texts: [pa.array([of(t.as_py()) for t in texts], kind)])
