@@ -12,7 +12,7 @@ Scale: one shuffle of vectors (equal ones meet in the map tasks first), then pas
 Defined cases: vectors that are null, empty, of another length than most, or hold null or non-finite components, or ones of
 2^52 or more after scaling, take no part; rows with them are dropped. Rows with equal or null ids each keep their row. There are as
 many components as the scatter has rank, so none for a single vector, and none for an empty table. A deviation beyond a long
-is null. Extra columns pass through.
+is null. Extra columns pass through; ones named like the new columns are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import add_columns, column
+from foliospark.llm.common import add_columns, column, packed, unpacked
 from foliospark.operators.shared import materialise, task_sums
 
 SCALE, SHIFT, KEEP = 64, 1_000_000, 16
@@ -200,14 +200,16 @@ def fit(rows: DataFrame, vec_col: str = "embedding", keep: int = KEEP, scale: in
 
 def transform(rows: DataFrame, model: Whitening, vec_col: str = "embedding", scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
     """The rows that take part, with ``deviation`` and ``whitened``, one value a component."""
-    d = len(model.sums)
-    used = fixed_point(rows, vec_col, scale, shift, "_x").where(F.size("_x") == d)
+    d, new = len(model.sums), ("deviation", "whitened")
+    own = rows.select(*[column(c) for c in rows.columns if c not in new])
+    used = fixed_point(own.select(packed(own), column(vec_col).alias("v")), "v", scale, shift, "x").where(F.size("x") == d).select("_row", "x")
 
     def made(values: pa.Array) -> list[pa.Array]:
         x = matrix(values, d)
         return [pa.array(model.deviations(x), pa.int64()), pa.array(list(model.whitened(x)), pa.list_(pa.float64()))]
 
-    return add_columns(used, ["_x"], [("deviation", "long"), ("whitened", "array<double>")], made).drop("_x")
+    done = add_columns(used, ["x"], [("deviation", "long"), ("whitened", "array<double>")], made)
+    return done.select(*unpacked(done, own.columns), *new)
 
 
 def by_component(done: DataFrame, model: Whitening, *kept: Column) -> DataFrame:
