@@ -12,6 +12,7 @@ from foliospark.operators import cluster as C
 from foliospark.operators import embed as E
 from foliospark.operators import mixture
 from foliospark.operators import profile as P
+from foliospark.operators import subwords
 from foliospark.operators.density import fit_density
 from foliospark.operators.sampling import label_encode
 from foliospark.operators.shared import spread
@@ -184,3 +185,34 @@ def _(spark, sf_dir):
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = K.encode_ids(texts, K.vocabulary(texts))
     return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
+#: A small fixed vocabulary: the outer pieces, letters, and common syllables at the start of a word and inside it.
+SYLLABLES = ("the", "and", "ing", "tion", "ent", "er", "on", "an", "re", "de", "la", "que", "ción", "mente", "der", "ein", "und", "sch", "keit", "lich")
+PIECES = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", *map(chr, range(97, 123)), *(f"##{chr(i)}" for i in range(97, 123)), *SYLLABLES, *(f"##{s}" for s in SYLLABLES), ".", ",")
+
+
+@query("subword_ids", r"""
+WITH RECURSIVE pieces AS (SELECT unnest(range(len(p))) AS id, unnest(p) AS piece FROM (SELECT [%s] AS p)),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s\p{Z}]')[1:126] AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+walk AS (
+  SELECT DISTINCT word, 0 AS pos, CAST([] AS BIGINT[]) AS ids FROM x
+  UNION ALL
+  SELECT word, pos + size, list_append(ids, id) FROM (
+    SELECT k.word, k.pos, k.ids, p.id, length(p.piece) - CASE WHEN k.pos > 0 THEN 2 ELSE 0 END AS size,
+           row_number() OVER (PARTITION BY k.word, k.pos ORDER BY length(p.piece) DESC) AS r
+    FROM walk k JOIN pieces p ON (k.pos = 0 AND p.piece NOT LIKE '##_%%' AND starts_with(k.word, p.piece))
+      OR (k.pos > 0 AND p.piece LIKE '##_%%' AND substr(k.word, k.pos + 1, length(p.piece) - 2) = substr(p.piece, 3))
+    WHERE k.pos < length(k.word)
+  ) WHERE r = 1
+),
+cut AS (SELECT word, ids FROM walk WHERE pos = length(word) AND length(word) <= 100),
+i AS (SELECT doc_id, flatten(list(coalesce(ids, [1]) ORDER BY place))[1:126] AS ids FROM x LEFT JOIN cut USING (word) GROUP BY 1),
+a AS (SELECT d.doc_id, list_concat([2], coalesce(ids, []), [3]) AS ids FROM documents d LEFT JOIN i ON d.doc_id = i.doc_id)
+SELECT doc_id, array_to_string(list_transform(range(0, 128), lambda k: CASE WHEN k < len(ids) THEN ids[k + 1]::INT ELSE 0 END), ',') AS input_ids,
+  len(ids)::INTEGER AS n_ids FROM a""" % ", ".join(f"'{p}'" for p in PIECES))
+def _(spark, sf_dir):
+    vocab = spark.createDataFrame(list(zip(PIECES, range(len(PIECES)))), "piece string, token_id int")
+    ids = subwords.subword_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocab)
+    return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_ids"))
