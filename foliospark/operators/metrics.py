@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from foliospark.functions.vectors import argmax
@@ -61,8 +62,11 @@ def partition_agreement(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     )
 
 
+SUMS = "id long, own long, other long, total double"
+
+
 def _tile_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from each left row to each cluster of the right block."""
+    """Distance sums from each row of either block to each cluster of the other one; a block against itself gives its rows once."""
     if left.empty or right.empty:
         return pd.DataFrame({"id": [], "own": [], "other": [], "total": []}).astype(
             {"id": "int64", "own": "int64", "other": "int64", "total": "float64"}
@@ -70,33 +74,37 @@ def _tile_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     x, y = np.stack(left["vec"]).astype(float), np.stack(right["right_vec"]).astype(float)
     square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
     dist = np.sqrt(np.maximum(square, 0))
-    dist[left["id"].to_numpy()[:, None] == right["right_id"].to_numpy()[None, :]] = 0
-    names, place = np.unique(right["right_cluster"].to_numpy(), return_inverse=True)
-    sums = dist @ np.eye(len(names))[place]
-    return pd.DataFrame({
-        "id": np.repeat(left["id"].to_numpy(), len(names)), "own": np.repeat(left["cluster"].to_numpy(), len(names)),
-        "other": np.tile(names, len(left)), "total": sums.ravel(),
-    })
+    ids, clusters = left["id"].to_numpy(), left["cluster"].to_numpy()
+    right_ids, right_clusters = right["right_id"].to_numpy(), right["right_cluster"].to_numpy()
+    dist[ids[:, None] == right_ids[None, :]] = 0
+
+    def to_clusters(dist: np.ndarray, ids: np.ndarray, own: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        names, place = np.unique(others, return_inverse=True)
+        sums = dist @ np.eye(len(names))[place]
+        return pd.DataFrame({"id": np.repeat(ids, len(names)), "own": np.repeat(own, len(names)), "other": np.tile(names, len(ids)), "total": sums.ravel()})
+
+    forth = to_clusters(dist, ids, clusters, right_clusters)
+    if left["block"].iloc[0] == right["at_tile"].iloc[0]:
+        return forth
+    return pd.concat([forth, to_clusters(dist.T, right_ids, right_clusters, clusters)], ignore_index=True)
 
 
 def silhouette_exact(df: DataFrame, cluster: str, vec: str = "embedding", id_col: str = "doc_id") -> DataFrame:
     """Mean Euclidean silhouette, one row; null with fewer than two clusters.
 
     The metric is quadratic by definition. Rows are hashed into blocks of about 2,048 regardless of
-    their cluster; a task takes two blocks and returns distance sums per row and cluster, never pairs.
+    their cluster; a task takes two blocks, each pair of blocks once, and returns distance sums per row and cluster, never pairs.
     For large tables use :func:`silhouette_squared`.
     """
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("long").alias("cluster"), F.col(vec).alias("vec")
     )
     blocks = -(-rows.count() // TILE_ROWS) or 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("tile", others).groupBy("block", "tile")
-    right = rows.select(
-        others.alias("at"), F.col("block").alias("at_tile"), *[F.col(c).alias(f"right_{c}") for c in ("id", "cluster", "vec")]
-    ).groupBy("at", "at_tile")
-    sums = left.cogroup(right).applyInPandas(_tile_sums, "id long, own long, other long, total double")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    # a pair of blocks meets once, on the side of the lower block, and gives sums for the rows of both
+    left = rows.withColumn("block", block).withColumn("tile", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))).groupBy("block", "tile")
+    right = rows.select(*[F.col(c).alias(f"right_{c}") for c in ("id", "cluster", "vec")], block.alias("at_tile"), F.explode(F.sequence(F.lit(0), block)).alias("at")).groupBy("at", "at_tile")
+    sums = left.cogroup(right).applyInPandas(_tile_sums, SUMS)
     sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("size"))
     per_cluster = sums.groupBy("id", "own", "other").agg(F.sum("total").alias("total")).join(small_side(sizes), "other")
     is_own = F.col("own") == F.col("other")
@@ -110,6 +118,29 @@ def silhouette_exact(df: DataFrame, cluster: str, vec: str = "embedding", id_col
     return per_row.agg(F.when(F.count("b") > 0, F.avg(width)).alias("silhouette"))
 
 
+def _against(rows: DataFrame, held: list[Row]) -> DataFrame:
+    """``row, a, b, size`` of ``rows(row, cluster, vec, sq)`` against a block of profiles: the mean squared distance within the own
+    cluster, if the block has it, the least to another one, and the own cluster's size."""
+    names, sizes = np.array([p["cluster"] for p in held]), np.array([p["size"] for p in held], float)
+    msq, means = np.array([p["msq"] for p in held]), np.array([p["mean"] for p in held])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if not len(x):
+                continue
+            mean_dist = np.maximum(x["sq"].to_numpy()[:, None] + msq[None, :] - 2 * np.stack(x["vec"]) @ means.T, 0)
+            at = np.minimum(np.searchsorted(names, x["cluster"]), len(names) - 1)
+            here = names[at] == x["cluster"].to_numpy()
+            size = np.where(here, sizes[at], 0)
+            own = mean_dist[np.arange(len(x)), at] * size / np.maximum(size - 1, 1)
+            mean_dist[np.flatnonzero(here), at[here]] = np.inf
+            yield pd.DataFrame({"row": x["row"], "a": np.where(here, own, np.nan), "b": mean_dist.min(1), "size": size.astype("int64")})
+
+    kinds = "row long, a double, b double, size long"
+    found = rows.select("row", "cluster", "vec", "sq").mapInPandas(run, kinds)
+    return found.withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+
+
 def silhouette_squared(df: DataFrame, cluster: str, vec: str = "embedding") -> DataFrame:
     """Silhouette on squared Euclidean distance, linear in the rows, one row.
 
@@ -128,37 +159,18 @@ def silhouette_squared(df: DataFrame, cluster: str, vec: str = "embedding") -> D
     n = profile.count()
     if n < 2:
         return df.sparkSession.sql("select cast(null as double) as silhouette")
-    blocks = -(-n // CLUSTER_BLOCK)
-    numbered = profile.select(
-        F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int").alias("block"), F.struct("cluster", "size", "msq", "mean").alias("p"))
-    packed = numbered.groupBy("block").agg(F.collect_list("p").alias("held"))
-    # every row meets every cluster, a block of clusters at a time; one row per row and block comes back
-    placed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-    if blocks > 1:
-        placed = materialise(rows.withColumn("row", F.monotonically_increasing_id())).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-
-    @F.pandas_udf("a double, b double, size long")
-    def parts(c: pd.Series, v: pd.Series, sq: pd.Series, held: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"a": np.nan, "b": np.nan, "size": 0}, index=range(len(c)))
-        for key, at in pd.Series(range(len(c))).groupby([h[0]["cluster"] for h in held]):  # batches mix blocks
-            profile = held.iloc[at.iloc[0]]
-            names, sizes = np.array([p["cluster"] for p in profile]), np.array([p["size"] for p in profile], float)
-            msq, means = np.array([p["msq"] for p in profile]), np.stack([p["mean"] for p in profile])
-            mean_dist = np.maximum(sq.to_numpy()[at][:, None] + msq[None, :] - 2 * np.stack(v.iloc[at]) @ means.T, 0)
-            own = c.to_numpy()[at][:, None] == names[None, :]
-            size = own @ sizes
-            out.loc[at, "a"] = np.where(size > 0, (mean_dist * own).sum(1) * size / np.maximum(size - 1, 1), np.nan)
-            out.loc[at, "b"] = np.where(own, np.inf, mean_dist).min(1)
-            out.loc[at, "size"] = size.astype("int64")
-        return out
-
-    measured = placed.select("*", parts("cluster", "vec", "sq", "held").alias("m"))
-    if blocks > 1:
-        best = measured.groupBy("row").agg(
-            F.max(F.when(F.col("m.size") > 0, F.col("m.a"))).alias("a"), F.min("m.b").alias("b"), F.max("m.size").alias("size"))
+    # a block of profiles is small by construction and goes with the task's code, not with the rows
+    numbered = materialise(running(profile.withColumn("one", F.lit(1)), [], ["cluster"], {"rank": "one"}))
+    measured = None
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id())) if n > CLUSTER_BLOCK else rows.withColumn("row", F.lit(0).cast("long"))
+    for first in range(0, n, CLUSTER_BLOCK):
+        held = numbered.where(F.col("rank").between(first + 1, first + CLUSTER_BLOCK)).orderBy("cluster").collect()  # one block
+        part = _against(rows, held)
+        measured = part if measured is None else measured.unionByName(part)
+    if n > CLUSTER_BLOCK:
+        best = measured.groupBy("row").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("size").alias("size"))
     else:
-        best = measured.select("m.a", "m.b", "m.size")
+        best = measured
     top = F.greatest("a", "b")
     width = F.when((F.col("size") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
     return best.agg(F.avg(width).alias("silhouette"))

@@ -52,6 +52,8 @@ def test_silhouette_over_several_tiles(spark, monkeypatch):
     monkeypatch.setattr(M, "TILE_ROWS", 16)
     assert M.silhouette_exact(df, "c").first()[0] == pytest.approx(plain(1), abs=1e-9)
     assert M.silhouette_squared(df, "c").first()[0] == pytest.approx(plain(2), abs=1e-9)
+    monkeypatch.setattr(M, "CLUSTER_BLOCK", 2)  # profiles in two blocks, an own cluster in one of them
+    assert M.silhouette_squared(df, "c").first()[0] == pytest.approx(plain(2), abs=1e-9)
     one = df.withColumn("c", df["c"] * 0)
     assert M.silhouette_exact(one, "c").first()[0] is None and M.silhouette_squared(one, "c").first()[0] is None
 
