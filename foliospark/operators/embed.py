@@ -1,4 +1,4 @@
-"""Document vectors: four encoders fitted with Spark ML, a precomputed column, and a user-model hook."""
+"""Document vectors: four encoders fitted on the texts, a precomputed column, and a user-model hook."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,9 +18,10 @@ from foliospark.config import TEXT_MODES
 from foliospark.functions import text as T
 from foliospark.functions.vectors import concat_views, l2_normalise
 from foliospark.operators.sampling import select_text
+from foliospark.operators.shared import materialise
+from foliospark.operators.subspace import WideModel, fit_wide
 
 HASH_DIM = 512
-PCA_INPUT = 1024
 PCA_DIM = 32
 WORD_DIM = 48
 WORD_BUCKETS = 1 << 14
@@ -45,9 +46,7 @@ def _characters(text: Column) -> Column:
 ENCODERS: dict[str, tuple[Callable[[Column], Column], Callable[[int], list]]] = {
     "tfidf_hash": (_words, lambda seed: [
         HashingTF(numFeatures=HASH_DIM, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="vector")]),
-    "tfidf_pca": (_words, lambda seed: [
-        HashingTF(numFeatures=PCA_INPUT, inputCol="tokens", outputCol="tf"), IDF(inputCol="tf", outputCol="idf"),
-        PCA(k=PCA_DIM, inputCol="idf", outputCol="vector")]),
+    "tfidf_pca": (_words, lambda seed: []),  # fitted by subspace.fit_wide
     "word2vec": (_hashed_words, lambda seed: [
         Word2Vec(numPartitions=WORD_TASKS, vectorSize=WORD_DIM, minCount=1, seed=seed, maxIter=1, inputCol="tokens", outputCol="vector")]),
     "char_hash": (_characters, lambda seed: [
@@ -77,7 +76,7 @@ class FittedEncoder:
 
     name: str
     mode: str
-    views: dict[str, PipelineModel]
+    views: dict[str, PipelineModel | WideModel]
 
     def _encode(self, df: DataFrame, view: str) -> DataFrame:
         tokens = ENCODERS[self.name][0]
@@ -101,7 +100,8 @@ def fit_encoder(df: DataFrame, name: str, mode: str, seed: int = 42) -> FittedEn
     models = {}
     for view in views_of(df, mode):
         texts = _view_text(df, view).select("doc_id", tokens(F.col("text")).alias("tokens"))
-        models[view] = Pipeline(stages=stages).fit(texts)
+        texts = materialise(texts)  # every stage of a fit reads the words, none makes them again
+        models[view] = fit_wide(texts, PCA_DIM) if name == "tfidf_pca" else Pipeline(stages=stages).fit(texts)
     return FittedEncoder(name, mode, models)
 
 

@@ -12,11 +12,11 @@ from foliospark.operators import cluster as C
 from foliospark.operators import embed as E
 from foliospark.operators import mixture
 from foliospark.operators import profile as P
-from foliospark.operators import subwords
+from foliospark.operators import subspace, subwords
 from foliospark.operators.density import fit_density
 from foliospark.operators.sampling import label_encode
 from foliospark.operators.shared import spread
-from foliospark.plans.catalogue.registry import clean_papers, query, sql_words, table
+from foliospark.plans.catalogue.registry import clean_papers, query, r6, sql_clean, sql_words, table
 from foliospark.plans.catalogue.vectors import embeddings
 
 
@@ -187,6 +187,19 @@ def _(spark, sf_dir):
     return ids.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
+@query("tfidf_slots", f"""
+WITH w AS (SELECT doc_id, unnest({sql_words(sql_clean('text'))}) AS word FROM documents),
+c AS (SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 262144)::INTEGER AS slot, count(*) AS tf FROM w GROUP BY ALL),
+i AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) AS idf FROM c GROUP BY slot)
+SELECT doc_id, slot, tf, round(tf * idf, 6) AS weight FROM c JOIN i USING (slot) WHERE tf * idf <> 0""")
+def _(spark, sf_dir):
+    """The weights that the wide encoder decomposes."""
+    docs = spread(clean_papers(spark, sf_dir))
+    counted = subspace.counts(docs.select("doc_id", T.word_list(F.col("clean")).alias("tokens")))
+    weights = subspace.weighted(counted, subspace.document_shares(counted, docs.count()))
+    return counted.join(weights, ["doc_id", "slot"]).select("doc_id", "slot", "tf", r6(F.col("weight")).alias("weight"))
+
+
 #: A small fixed vocabulary: the outer pieces, letters, and common syllables at the start of a word and inside it.
 SYLLABLES = ("the", "and", "ing", "tion", "ent", "er", "on", "an", "re", "de", "la", "que", "ción", "mente", "der", "ein", "und", "sch", "keit", "lich")
 PIECES = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", *map(chr, range(97, 123)), *(f"##{chr(i)}" for i in range(97, 123)), *SYLLABLES, *(f"##{s}" for s in SYLLABLES), ".", ",")
