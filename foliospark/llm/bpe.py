@@ -17,8 +17,10 @@ text longer than a block is a block of its own. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from foliospark.llm.common import by_batch, column
 
-BLOCK_CHARS, OUT_TOKENS = 1 << 24, 1 << 20
+BLOCK_CHARS, OUT_TOKENS = 1 << 22, 100_000
 NONE = np.int32(2**31 - 1)
 #: White space in the pattern's sense (Unicode White_Space).
 BLANK = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -41,49 +43,56 @@ PIECES = re.compile(f"[{BLANK}]?[^{BLANK}]+|[{BLANK}]+(?=[{BLANK}][^{BLANK}])|[{
 
 
 class Ranks:
-    """A rank file: the bytes of each token and the rank of every pair that joins to a token."""
+    """A rank file as arrays: the bytes of all tokens, where each ends, and the rank of every pair that joins to a token."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.size = max(self.rank.values()) + 1
-        self.bytes = [b""] * self.size
-        for token, r in self.rank.items():
-            self.bytes[r] = token
-        self.first = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = {}
-        for token, r in self.rank.items():
+            rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.size = max(rank.values()) + 1
+        tokens = [b""] * self.size
+        for token, r in rank.items():
+            tokens[r] = token
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.ends = np.cumsum([len(t) for t in tokens])
+        self.first = np.array([rank[bytes([b])] for b in range(256)], np.int32)
+        keys, joined = [], []
+        for token, r in rank.items():
             for cut in range(1, len(token)):
-                a, b = self.rank.get(token[:cut]), self.rank.get(token[cut:])
+                a, b = rank.get(token[:cut]), rank.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a * self.size + b] = r
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.joined = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
-        self.pairs = pairs
+                    keys.append(a * self.size + b)
+                    joined.append(r)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.joined = np.array(keys, np.int64)[order], np.array(joined, np.int32)[order]
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.joined[at], NONE)
 
+    def pair(self, a: int, b: int) -> int | None:
+        key = a * self.size + b
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.joined[at]) if at < len(self.keys) and self.keys[at] == key else None
+
     def alone(self, word: bytes) -> list[int]:
         """One word, lowest rank first, leftmost among equals."""
         token = self.first[np.frombuffer(word, np.uint8)].tolist()
         n = len(token)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get(token[i] * self.size + token[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self.pair(token[i], token[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = right[i]
-            if token[i] < 0 or j >= n or self.pairs.get(token[i] * self.size + token[j]) != r:
+            if token[i] < 0 or j >= n or self.pair(token[i], token[j]) != r:
                 continue
             token[i], token[j] = r, -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
             for x, y in ((left[i], i), (i, k)):
-                if x >= 0 and y < n and (q := self.pairs.get(token[x] * self.size + token[y])) is not None:
+                if x >= 0 and y < n and (q := self.pair(token[x], token[y])) is not None:
                     heapq.heappush(heap, (q, x))
         return [t for t in token if t >= 0]
 
@@ -93,15 +102,13 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all words one after the other, and where each word's tokens end."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    n = len(data)
+def replay(data: bytes, lengths: np.ndarray, table: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all words, which stand one after the other in ``data``, and where each word's tokens end."""
+    n, m = len(data), len(lengths)
     if not n:
-        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
-    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-    token = table.first[data]
+        return np.zeros(0, np.int32), np.zeros(m, np.int64)
+    word = np.repeat(np.arange(m, dtype=np.int32), lengths)
+    token = table.first[np.frombuffer(data, np.uint8)]
     right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     starts = np.ones(n, bool)
     starts[1:] = word[1:] != word[:-1]
@@ -110,7 +117,7 @@ def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
     pair = np.full(n, NONE, np.int32)  # the rank of the merge that starts at a place
     inner = np.flatnonzero(right >= 0).astype(np.int32)
     pair[inner] = table.of(token[inner], token[right[inner]])
-    alive, odd = np.ones(n, bool), np.zeros(len(words), bool)
+    alive, odd = np.ones(n, bool), np.zeros(m, bool)
     index: dict[int, list[np.ndarray]] = {}
 
     def add(places: np.ndarray) -> list[int]:
@@ -167,15 +174,16 @@ def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
         if len(touched):
             for q in add(np.unique(touched)):
                 heapq.heappush(heap, q)
-    counts = np.bincount(word[alive], minlength=len(words))
+    counts = np.bincount(word[alive], minlength=m)
     tokens = token[alive]
     if odd.any():
         ends = np.cumsum(counts)
-        parts = np.split(tokens, ends[:-1])
+        at, parts, done = np.cumsum(lengths), [], 0
         for i in np.flatnonzero(odd).tolist():
-            parts[i] = np.array(table.alone(words[i]), np.int32)
-            counts[i] = len(parts[i])
-        tokens = np.concatenate(parts)
+            own = np.array(table.alone(data[at[i] - lengths[i]:at[i]]), np.int32)
+            parts += [tokens[done:ends[i] - counts[i]], own]
+            done, counts[i] = ends[i], len(own)
+        tokens = np.concatenate([*parts, tokens[done:]])
     return tokens, np.cumsum(counts)
 
 
@@ -192,25 +200,30 @@ def _gather(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.nd
 def encode_block(texts: list[str | None], pattern, table: Ranks) -> Iterator[np.ndarray]:
     """The tokens of each text of a block."""
     pieces: dict[str, int] = defaultdict()  # numbers for new keys, in their order
-    words: dict[str, int] = defaultdict()
-    pieces.default_factory, words.default_factory = pieces.__len__, words.__len__
+    pieces.default_factory = pieces.__len__
     stream = []
     for text in texts:
         found = PIECES.findall(text) if text else ()
         stream.append(np.fromiter(map(pieces.__getitem__, found), np.int32, len(found)))
-    made, made_ends = [], []
+    words: dict[str, int] = defaultdict()
+    words.default_factory = words.__len__
+    made, made_ends = array("i"), array("q")
     for piece in pieces:
         made.extend(map(words.__getitem__, pattern.findall(piece)))
         made_ends.append(len(made))
-    flat, ends = replay([w.encode() for w in words], table)
-    flat, word_ends = _gather(flat, ends, np.array(made, np.int64))
-    ends = np.concatenate(([0], word_ends))[np.array(made_ends, np.int64)] if made_ends else np.zeros(0, np.int64)
+    del pieces  # the merges need room of their own
+    data = "".join(words).encode()
+    lengths = np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words))
+    del words
+    flat, ends = replay(data, lengths, table)
+    flat, word_ends = _gather(flat, ends, np.frombuffer(made, np.int32).astype(np.int64) if made else np.zeros(0, np.int64))
+    ends = np.concatenate(([0], word_ends))[np.frombuffer(made_ends, np.int64)] if made_ends else np.zeros(0, np.int64)
     for pick in stream:
         yield _gather(flat, ends, pick)[0]
 
 
 def decode_ids(tokens: np.ndarray, table: Ranks) -> bytes:
-    return b"".join(map(table.bytes.__getitem__, tokens.tolist()))
+    return _gather(table.data, table.ends, tokens)[0].tobytes()
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -218,14 +231,18 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """``id`` and the wanted forms of each text, each match of ``pattern`` encoded by itself.
 
     ``tokens`` is the array of token ids, ``ids`` the same as little-endian unsigned 32-bit integers, ``n_tokens`` their
-    number and ``decoded`` the bytes that the ids decode to.
+    number and ``decoded`` the bytes that the ids decode to; ``ids_sha256`` and ``decoded_sha256`` are hex digests of these.
     """
     kinds = {"tokens": ("array<int>", pa.list_(pa.int32())), "ids": ("binary", pa.binary()),
-             "n_tokens": ("long", pa.int64()), "decoded": ("binary", pa.binary())}
+             "n_tokens": ("long", pa.int64()), "decoded": ("binary", pa.binary()),
+             "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    packed = lambda t: t.astype("<u4").tobytes()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, matcher = ranks(vocabulary), regex.compile(pattern)
-        form = {"tokens": lambda t: t, "ids": lambda t: t.astype("<u4").tobytes(), "n_tokens": len, "decoded": lambda t: decode_ids(t, table)}
+        form = {"tokens": lambda t: t, "ids": packed, "n_tokens": len, "decoded": lambda t: decode_ids(t, table),
+                "ids_sha256": lambda t: digest(packed(t)), "decoded_sha256": lambda t: digest(decode_ids(t, table))}
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             block = np.cumsum(sizes, dtype=np.int64) // BLOCK_CHARS

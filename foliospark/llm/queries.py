@@ -76,9 +76,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                      public_tokenizers.PATTERN, forms=("n_tokens", "ids", "decoded"))
-    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+                      public_tokenizers.PATTERN, forms=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return done.withColumnRenamed("id", "doc_id")
 
 
 @query("op8_toxicity")
