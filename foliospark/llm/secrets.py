@@ -5,8 +5,13 @@ runs and brute-force characters, found by dynamic programming over its positions
 the guesses). A value that follows a credential's name, with or without an assignment sign, and costs ``MIN_BITS`` or more
 is a secret of kind ``guess``, unless a base span overlaps it. So "password is required" stays and a random value goes.
 
-Scale: one pass over whole texts, no shuffle; the dynamic programming sees only the few values in context, and looks
-back at most ``MAX_PART`` characters but for repeats and walks, which it takes as whole runs.
+Words are those of the corpus besides a fixed list, each at the bits of its frequency. Only words outside the values in context
+count, so a leaked password does not become a word however often it is repeated. A word is known if its rows are
+``LEAST_ROWS`` and a share ``SHARE`` of all rows more; so the list's length is bounded by the words a text has, not by the rows.
+
+Scale: two passes over whole texts. The first counts a batch's words before anything is shuffled; the second has no shuffle. The
+dynamic programming sees only the few values in context, and looks back at most ``MAX_PART`` characters but for repeats and
+walks, which it takes as whole runs.
 
 Defined cases: null or empty texts have no spans. Extra columns pass through. Rows with equal ids each keep their row.
 """
@@ -14,6 +19,8 @@ Defined cases: null or empty texts have no spans. Extra columns pass through. Ro
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
 
@@ -22,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import add_columns, column
+from foliospark.operators.shared import materialise
 
 KINDS = ("assign", "access", "hex", "guess")
 # Fixed values of the base patterns.
@@ -41,10 +49,10 @@ CONTEXT = re.compile(
     rf"""|{REST})?"""
 )
 VALUE = re.compile(r"""[^\s"'`<>()\[\]{},;]+""")
-MIN_BITS = 36.0
-MAX_PART = 24
-#: The corpus's own words that prose is spelt with.
-IN_DOCS, LIST_WORDS = 5, 100_000
+MIN_BITS, MAX_PART = 36.0, 24
+#: Which of the corpus's own words prose is spelt with.
+LEAST_ROWS, SHARE = 5, 2e-5
+LETTERS = re.compile(r"[^\W\d_]{3,%d}" % MAX_PART)
 
 #: Common words and passwords, the commonest first; a caller may pass another list.
 WORDS = (
@@ -81,21 +89,21 @@ def _char_bits(c: str) -> float:
     return log2(33)
 
 
-def _word_bits(part: str, ranks: dict[str, int]) -> float | None:
+def _word_bits(part: str, known: dict[str, float]) -> float | None:
     low = part.lower()
-    rank = ranks.get(low)
-    leet = 0
-    if rank is None:
-        rank, leet = ranks.get(low.translate(LEET)), 2
-    if rank is None:
+    bits, leet = known.get(low), 0
+    if bits is None:
+        bits, leet = known.get(low.translate(LEET)), 2
+    if bits is None:
         return None
     upper = sum(c.isupper() for c in part)
-    return log2(rank + 2) + leet + (0 if not upper else 1 if upper in (1, len(part)) and (part[0].isupper() or upper == len(part)) else upper)
+    return bits + leet + (0 if not upper else 1 if upper in (1, len(part)) and (part[0].isupper() or upper == len(part)) else upper)
 
 
-def guess_bits(value: str, words: tuple = WORDS) -> float:
-    """Bits of the cheapest segmentation of a value; each segment costs one bit more, for where it ends."""
-    ranks, longest = words if words and isinstance(words[0], dict) else _ranks(words)
+def guess_bits(value: str, words: dict[str, float] | None = None) -> float:
+    """Bits of the cheapest segmentation of a value; each segment costs one bit more, for where it ends. ``words`` has the
+    bits of each known word, of ``MAX_PART`` characters at most."""
+    known = ranked(WORDS) if words is None else words
     low, n = value.lower(), len(value)
     best = [0.0] + [float("inf")] * n
     run = walk = 0  # where the repeat and the walk that end here began
@@ -116,8 +124,8 @@ def guess_bits(value: str, words: tuple = WORDS) -> float:
             best[end] = min(best[end], best[walk] + 1 + log2(47) + log2(end - walk) + 1)
         for start in dates.get(end, ()):
             best[end] = min(best[end], best[start] + 1 + (log2(120) if end - start <= 4 else log2(120 * 365) + 2))
-        for start in range(max(0, end - min(longest, MAX_PART)), end - 2):
-            bits = _word_bits(value[start:end], ranks)
+        for start in range(max(0, end - MAX_PART), end - 2):
+            bits = _word_bits(value[start:end], known)
             if bits is not None:
                 best[end] = min(best[end], best[start] + 1 + bits)
         if end >= 4:  # a block said twice
@@ -128,17 +136,28 @@ def guess_bits(value: str, words: tuple = WORDS) -> float:
 
 
 @lru_cache(maxsize=4)
-def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
-    """Ranks of words, and the length of the longest; may stand for the words themselves."""
-    return {w: i for i, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
-
-
-def corpus_words(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
-    """``WORDS``, then the words of letters that most documents have; each is in ``IN_DOCS`` or more."""
-    words = F.explode(F.array_distinct(F.split(F.lower(column(text_col)), r"[^\p{L}]+")))
-    counts = docs.select(words.alias("w")).where(F.length("w").between(3, MAX_PART)).groupBy("w").agg(F.count("*").alias("n"))
-    rows = counts.where(F.col("n") >= IN_DOCS).orderBy(F.desc("n"), "w").limit(LIST_WORDS).collect()
-    return (*WORDS, *(r.w for r in rows))
+def ranked(words: tuple[str, ...]) -> dict[str, float]:
+    """Bits of words in the order of their frequency."""
+    return {w: log2(i + 2) for i, w in reversed(list(enumerate(words)))}
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """Bits of ``WORDS`` and of the words that enough rows have outside the values in context."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = Counter(), 0
+            for x in batch.column(0):
+                held.update(set(LETTERS.findall(outside(x.as_py() or "").lower())))
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(["", *held], pa.string()), pa.array([n, *held.values()], pa.int64())], ["w", "n"])
+
+    counts = docs.select(column(text_col).alias("text")).mapInArrow(counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = materialise(counts)
+    rows = counts.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    listed = counts.where((F.col("w") != "") & (F.col("n") >= LEAST_ROWS + SHARE * rows)).collect()
+    total = sum(r["n"] for r in listed)
+    found = {r["w"]: log2(total / r["n"]) + 1 for r in listed}
+    return found | {w: min(bits, found.get(w, bits)) for w, bits in ranked(WORDS).items()}
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -153,29 +172,39 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def guess_spans(text: str, base: list[tuple[int, str, int]], words: tuple[str, ...] = WORDS,
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """Where the values after credential names are, without what ends a sentence."""
+    low, seen = text.lower(), 0
+    for m in CONTEXT.finditer(text) if any(w in low for w in CONTEXT_WORDS) else ():
+        if m["at"] is not None and m.end() >= seen:  # there is a value, and not inside one that was judged as a whole
+            whole = VALUE.match(text, m.end())
+            seen = whole.end()
+            yield m.end(), m.end() + len(whole[0].rstrip(".:!?"))
+
+
+def outside(text: str) -> str:
+    """A text without base spans and values in context."""
+    spans = sorted([(a, b) for a, _, b in base_spans(text)] + list(context_values(text)))
+    parts, done = [], 0
+    for a, b in spans:
+        parts.append(text[done:max(a, done)])
+        done = max(done, b)
+    return " ".join([*parts, text[done:]]) if spans else text
+
+
+def guess_spans(text: str, base: list[tuple[int, str, int]], words: dict[str, float] | None = None,
                 min_bits: float = MIN_BITS) -> list[tuple[int, str, int]]:
-    low = text.lower()
-    if not any(w in low for w in CONTEXT_WORDS):
-        return []
-    found, seen = [], 0
-    for m in CONTEXT.finditer(text):
-        if m["at"] is None or m.end() < seen:
-            continue  # no value, or inside one that was judged as a whole
-        whole = VALUE.match(text, m.end())
-        value, seen = whole[0].rstrip(".:!?"), whole.end()
-        start, end = m.end(), m.end() + len(value)
-        if len(value) < 6:
-            continue
-        if not any(a < end and start < b for a, _, b in base) and guess_bits(value, words) >= min_bits:
-            found.append((start, "guess", end))
-    return found
-
-
-def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: tuple[str, ...] | None = None,
+    return [
+        (start, "guess", end) for start, end in context_values(text)
+        if end - start >= 6 and not any(a < end and start < b for a, _, b in base) and guess_bits(text[start:end], words) >= min_bits
+    ]
+
+
+def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: dict[str, float] | None = None,
          min_bits: float = MIN_BITS) -> DataFrame:
-    """``docs`` with all spans, by start and then kind, as ``array<struct<start, kind, end>>`` under ``name``."""
-    ranks = _ranks(corpus_words(docs, text_col) if words is None else words)
+    """``docs`` with all spans, by start and then kind, as ``array<struct<start, kind, end>>`` under ``name``; ``words`` are
+    known words and their bits, by default those of ``docs``."""
+    known = corpus_words(docs, text_col) if words is None else words
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def spans(texts: pa.Array) -> list[pa.Array]:
@@ -183,7 +212,7 @@ def scan(docs: DataFrame, text_col: str = "text", name: str = "spans", words: tu
         for x in texts:
             text = x.as_py() or ""
             base = base_spans(text)
-            own = sorted(base + guess_spans(text, base, ranks, min_bits), key=lambda s: (s[0], KINDS.index(s[1])))
+            own = sorted(base + guess_spans(text, base, known, min_bits), key=lambda s: (s[0], KINDS.index(s[1])))
             out.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
         return [pa.array(out, kind)]
 

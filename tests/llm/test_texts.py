@@ -2,7 +2,9 @@ import base64
 import random
 import re
 import zlib
+from math import log2
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ def test_tokens_are_those_of_the_tokenizer_library(spark, edges, nothing, prose)
 def test_replay_takes_words_alone_where_ranks_run_backwards():
     table = bpe.ranks(PATH)
     words = [b"", b"a", *[bytes(random.Random(i).choices(b"abcdeth in", k=40)) for i in range(200)]]
-    flat, ends = bpe.replay(words, table)
+    flat, ends = bpe.replay(b"".join(words), np.array([len(w) for w in words]), table)
     starts = [0, *ends[:-1].tolist()]
     assert [flat[a:b].tolist() for a, b in zip(starts, ends.tolist())] == [table.alone(w) for w in words]
 
@@ -164,6 +166,53 @@ def test_values_of_joined_names_of_two_names_and_after_tabs_are_seen():
 
 def test_values_of_letters_only_are_judged_by_the_words_of_the_corpus(spark):
     prose = "the password is remembered by the innkeeper and the token is transferable"
-    rows = spark.createDataFrame([(prose,)] * 6 + [("pwd = qzjxkvbwplmtrhg",)], "text string")
+    other = "what is transferable is remembered"
+    rows = spark.createDataFrame([(prose,)] * 6 + [(other,)] * 6 + [("pwd = qzjxkvbwplmtrhg",)], "text string")
     got = [(r.text, [r.text[s["start"]:s["end"]] for s in r.spans]) for r in secrets.scan(rows).collect()]
-    assert got == [(prose, [])] * 6 + [("pwd = qzjxkvbwplmtrhg", ["qzjxkvbwplmtrhg"])]
+    assert got == [(prose, [])] * 6 + [(other, [])] * 6 + [("pwd = qzjxkvbwplmtrhg", ["qzjxkvbwplmtrhg"])]
+
+
+def test_a_leaked_value_is_a_secret_however_often_it_is_there(spark):
+    for times in (1, 5, 500):
+        rows = spark.createDataFrame([("db_pwd = qzjxkvbwplmtrhg",)] * times + [(f"some prose of row {i} that repeats",) for i in range(20)], "text string")
+        assert secrets.scan(rows).where("size(spans) = 1 AND spans[0].kind = 'guess'").count() == times
+    copies = spark.createDataFrame([("we met in the old harbour, db_pwd = qzjxkvbwplmtrhg, and left",)] * 60, "text string")
+    assert secrets.scan(copies).where("size(spans) = 1").count() == 60
+    assert "qzjxkvbwplmtrhg" not in secrets.corpus_words(copies) and "harbour" in secrets.corpus_words(copies)
+
+
+def cheapest(value, known, at=0, cache=None):
+    """The definition, part by part: what the rest of a value costs, over all parts that may come next."""
+    cache = {} if cache is None else cache
+    if at == len(value):
+        return 0.0
+    if at in cache:
+        return cache[at]
+    steps, low = secrets._steps(), value.lower()
+    best = secrets._char_bits(value[at]) + cheapest(value, known, at + 1, cache)
+    for end in range(at + 2, len(value) + 1):
+        part = low[at:end]
+        costs = []
+        if len(part) >= 3 and len(set(part)) == 1:
+            costs.append(1 + secrets._char_bits(value[at]) + log2(len(part)))
+        if len(part) >= 3 and all(p in steps for p in zip(part, part[1:])):
+            costs.append(2 + log2(47) + log2(len(part)))
+        m = secrets.DATE.match(value, at)
+        if m and m.end() == end:
+            costs.append(1 + (log2(120) if len(part) <= 4 else log2(120 * 365) + 2))
+        if 3 <= len(part) <= secrets.MAX_PART and (bits := secrets._word_bits(value[at:end], known)) is not None:
+            costs.append(1 + bits)
+        if 2 <= len(part) <= secrets.MAX_PART and at >= len(part) and low[at - len(part):at] == part:
+            costs.append(2)
+        if costs:
+            best = min(best, min(costs) + cheapest(value, known, end, cache))
+    cache[at] = best
+    return best
+
+
+def test_guess_cost_is_the_cheapest_of_all_segmentations():
+    rnd, known = random.Random(12), secrets.ranked(secrets.WORDS)
+    parts = ["password", "Summer", "1999", "2024-01-31", "qwerty", "aaaa", "x", "Z", "7", "-", "dr4gon", "abab", "é", "lkjh", "310124"]
+    for _ in range(400):
+        value = "".join(rnd.choices(parts, k=rnd.randint(0, 5)))
+        assert abs(secrets.guess_bits(value) - cheapest(value, known)) < 1e-9, value
