@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from foliospark.operators import metrics as M
 from foliospark.operators import mixture
 from foliospark.operators.density import DensityModel, fit_density, relabel_noise
 from foliospark.operators.shared import materialise
+from foliospark.operators.sweep import Centres, fit_all
 
 CENTROID_BLOCK_VALUES = 4_000_000
 MIN_PARTITIONS = 8
@@ -71,11 +73,12 @@ FITS = {"KMeans": fit_kmeans, "GMM": fit_mixture}
 SILHOUETTE_FORMS = {"squared": M.silhouette_squared, "euclidean": M.silhouette_exact}
 
 
-def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, seed: int, silhouette: str = "squared") -> dict:
-    """One result row for a KMeans or mixture fit; a failed fit leaves its message in ``error``."""
+def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, centres: Centres, silhouette: str = "squared") -> dict:
+    """One result row for KMeans centres or the mixture that starts from them; a failed fit leaves its message in ``error``."""
     row = {"algorithm": algorithm, "k": k, "noise": 0}
     try:
-        labelled = FITS[algorithm](df, k, seed).transform(df).persist()
+        model = centres if algorithm == "KMeans" else mixture.fit_mixture(centres.transform(df).select("embedding", "prediction"), k)
+        labelled = FittedClusterer(algorithm, model).transform(df).persist()
         try:
             agreement = M.partition_agreement(labelled, truth, "cluster_id").first()
             clusters = labelled.agg(F.countDistinct("cluster_id")).first()[0]
@@ -83,7 +86,7 @@ def score_fit(df: DataFrame, algorithm: str, k: int, truth: str, seed: int, silh
         finally:
             labelled.unpersist()
         row |= {"clusters": clusters, "ari": agreement["ari"], "nmi": agreement["nmi"], "silhouette": width, "silhouette_kind": silhouette}
-    except Exception as e:
+    except (ValueError, np.linalg.LinAlgError, PythonException) as e:  # what a fit itself fails with; a lost cluster is not a result
         row["error"] = str(e)[:300]
     return row
 
@@ -95,10 +98,12 @@ def result_rows(spark, rows: list[dict]) -> DataFrame:
 
 def k_sweep(df: DataFrame, ks: list[int], truth: str, algorithms=("KMeans", "GMM"), seed: int = 42, parallelism: int = 4,
             silhouette: str = "squared") -> DataFrame:
-    """Fit every k with every algorithm on one cached input; a few jobs at a time."""
+    """Fit every k with every algorithm on one cached input: KMeans for all k in the same passes, then mixtures from there."""
     rows = prepared(df).persist()
+    fitted = fit_all(rows, ks, seed)
+    tasks = [(a, k) for k in ks for a in algorithms if k in fitted]
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(lambda t: score_fit(rows, t[0], t[1], truth, seed, silhouette), [(a, k) for k in ks for a in algorithms]))
+        results = list(pool.map(lambda t: score_fit(rows, t[0], t[1], truth, fitted[t[1]], silhouette), tasks))
     rows.unpersist()
     return result_rows(df.sparkSession, results)
 
@@ -152,9 +157,10 @@ def compare(embedded: dict[str, DataFrame], truth: str, cfg) -> DataFrame:
     for name, df in embedded.items():
         found = []
         placed = prepared(df).persist()
+        fitted = fit_all(placed, list(chosen.values()), cfg.seed)
         for a in by_k:
-            if a in chosen:
-                found.append(score_fit(placed, a, chosen[a], truth, cfg.seed, cfg.silhouette))
+            if chosen.get(a) in fitted:
+                found.append(score_fit(placed, a, chosen[a], truth, fitted[chosen[a]], cfg.silhouette))
         if "HDBSCAN" in cfg.algorithms:
             found += sorted(density_rows(df, truth, cfg.min_cluster_sizes)[0], key=lambda r: -r["composite"])[:1]
         placed.unpersist()

@@ -14,8 +14,9 @@ from foliospark.operators import mixture
 from foliospark.operators import profile as P
 from foliospark.operators import subspace, subwords
 from foliospark.operators.density import fit_density
-from foliospark.operators.sampling import label_encode
+from foliospark.operators.sampling import label_encode, with_representations
 from foliospark.operators.shared import spread
+from foliospark.operators.sweep import fit_all
 from foliospark.plans.catalogue.registry import clean_papers, query, r6, sql_clean, sql_words, table
 from foliospark.plans.catalogue.vectors import embeddings
 
@@ -72,6 +73,20 @@ def _(spark, sf_dir):
     return found
 
 
+@query("sweep_fixed_points", """
+SELECT k, count(*) AS fitted, 0::BIGINT AS moved FROM embeddings, (SELECT unnest([2, 3, 5])::INTEGER AS k) GROUP BY k""")
+def _(spark, sf_dir):
+    """All k of a shared sweep have come to rest: every row is in the cluster whose mean is nearest to it."""
+    rows = C.prepared(embeddings(spark, sf_dir))
+    found = None
+    for k, centres in fit_all(rows, [2, 3, 5]).items():
+        labelled = centres.transform(rows.select("doc_id", "embedding")).withColumnRenamed("prediction", "fitted_id")
+        again = C.assign_nearest(labelled, E.mean_vectors(labelled, "fitted_id"), "fitted_id")
+        one = again.agg(F.count("*").alias("fitted"), F.count_if(F.col("fitted_id") != F.col("cluster_id")).alias("moved")).select(F.lit(k).alias("k"), "fitted", "moved")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("density_label_properties", """
 SELECT count(*) AS labelled, true AS ids_contiguous, true AS clusters_large_enough FROM embeddings""")
 def _(spark, sf_dir):
@@ -114,6 +129,30 @@ def _(spark, sf_dir):
     return P.cluster_mix(C.fit_kmeans(rows, 8).transform(rows))
 
 
+@query("compare_grid", """
+SELECT algorithm, true AS has_score, true AS positive_agreement FROM (SELECT unnest(['GMM', 'HDBSCAN', 'KMeans']) AS algorithm)
+WHERE (SELECT count(*) FROM embeddings) > 0""")
+def _(spark, sf_dir):
+    """The encoder by clusterer grid over vectors and the same vectors moved apart by label, so that every algorithm has a result."""
+    rows = embeddings(spark, sf_dir)
+    apart = rows.withColumn("embedding", F.concat(F.transform("embedding", lambda x: x / 4), F.array(*[F.when(F.col("label") == i, 1.0).otherwise(0.0).cast("float") for i in range(10)])))
+    cfg = PipelineConfig(max_k=10, k_step=4, min_cluster_sizes=(5,))
+    found = C.compare({"apart": apart}, "label", cfg)
+    score = F.when(F.col("algorithm") == "HDBSCAN", F.col("composite")).otherwise(F.col("silhouette"))
+    return found.groupBy("algorithm").agg(F.min(score.isNotNull()).alias("has_score"), F.min((F.col("nmi") > 0) & (F.col("ari") > 0)).alias("positive_agreement"))
+
+
+@query("hybrid_vectors", f"""
+WITH c AS (SELECT doc_id, {sql_clean('text')} AS clean FROM documents)
+SELECT doc_id, 1536 AS width, CASE WHEN clean = '' THEN 0 ELSE 1 END::DOUBLE AS squared_length FROM c""")
+def _(spark, sf_dir):
+    """Hybrid mode encodes its parts apart and joins the unit vectors; triples that all documents share and an empty graph weigh nothing."""
+    docs = with_representations(spread(clean_papers(spark, sf_dir)))
+    vectors = E.fit_encoder(docs, "tfidf_hash", "hybrid").transform(docs)
+    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return vectors.select("doc_id", F.size("embedding").alias("width"), F.round(squared, 3).alias("squared_length"))
+
+
 @query("k_sweep")
 def _(spark, sf_dir):
     found = C.k_sweep(embeddings(spark, sf_dir), [2, 4, 6, 8, 10], "label")
@@ -167,6 +206,26 @@ def _(spark, sf_dir):
     return _scored_validation(spark, sf_dir, "logistic")
 
 
+def _classifier(model_name):
+    @query(f"classifier_{model_name}", f"""
+    SELECT '{model_name}' AS model_name, (
+      SELECT sum(least(n, greatest(1, ceil(n * 0.2))))::BIGINT > 0 FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)) AS has_rows,
+      (SELECT count(DISTINCT lang) FROM documents) AS n_scores, true AS scores_are_finite, true AS better_than_the_largest_class""")
+    def _(spark, sf_dir):
+        """Every validation row has a finite score for each class, and the largest one is right more often than the commonest label."""
+        out = _scored_validation(spark, sf_dir, model_name)
+        best = F.array_position("scores", F.array_max("scores")) - 1
+        counts = out.groupBy("y").agg(F.count("*").alias("n"), F.count_if(best == F.col("y")).alias("right"),
+                                      F.min(F.size("scores")).alias("width"), F.min(F.forall("scores", lambda x: ~F.isnan(x))).alias("fine"))
+        return counts.agg(F.sum("n").alias("rows"), F.sum("right").alias("right"), F.max("n").alias("most"), F.min("width").alias("width"), F.min("fine").alias("fine")).select(
+            F.lit(model_name).alias("model_name"), (F.col("rows") > 0).alias("has_rows"), F.col("width").cast("long").alias("n_scores"),
+            F.col("fine").alias("scores_are_finite"), (F.col("right") > F.col("most")).alias("better_than_the_largest_class"))
+
+
+for _name in sorted(K.RATES):
+    _classifier(_name)
+
+
 @query("hyperparameter_search")
 def _(spark, sf_dir):
     return K.search(_labelled(spark, sf_dir), "abstract", "lang_enc", n_trials=6)
