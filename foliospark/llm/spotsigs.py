@@ -1,9 +1,9 @@
 """SpotSigs document fingerprints: chains of content words that follow common words.
 
-A signature is a common word (an anchor) with the next ``CHAIN`` content words before another anchor; a fingerprint is the
-set of a text's signatures, as sorted 32-bit hashes. Boilerplate has few common words, so it weighs little. Texts with fewer
-than ``FEW`` chains add their single words, and a text without words stands for itself as a whole, so
-different texts without anchors stay apart. ``likeness`` is the Jaccard coefficient of two sets; with a floor it is pruned:
+A signature is a common word (an anchor) with the next ``CHAIN`` content words before another anchor, or a content word that
+stands in no such chain; a fingerprint is the set of a text's signatures, as sorted 32-bit hashes. Where anchors are rare, as in
+other languages, words so take the place of chains one by one: a chain more or less never moves more than its own words. A text
+without words stands for itself as a whole, so different texts without words stay apart. ``likeness`` is the Jaccard coefficient of two sets; with a floor it is pruned:
 sets whose lengths alone keep them under the floor are never intersected.
 
 ``similar`` finds all pairs of different fingerprints at ``threshold`` or more: sets are partitioned by length, so that only
@@ -32,7 +32,7 @@ ANCHORS = {
     "de": ("der", "die", "und", "den", "von", "zu", "sich", "das", "mit", "auf", "für", "dem", "ist", "im", "nicht", "ein", "eine", "als"),
     "es": ("que", "el", "y", "los", "se", "del", "las", "por", "con", "no", "una", "para", "su", "al", "lo"),
 }
-CHAIN, FEW = 2, 6
+CHAIN = 2
 
 
 def normalised(text: Column) -> Column:
@@ -42,19 +42,22 @@ def normalised(text: Column) -> Column:
 
 def signatures(text: Column, anchors: dict[str, tuple[str, ...]] = ANCHORS, chain: int = CHAIN) -> Column:
     """The sorted distinct signatures of a text, as ``array<int>``."""
-    names = "|".join(sorted({w for words in anchors.values() for w in words}))
+    names = sorted({w for words in anchors.values() for w in words})
+    any_name = "|".join(names)
     own = F.coalesce(text, F.lit(""))
-    words = normalised(own)
-    follow = rf"(?<= )(?:{names})(?: (?!(?:{names}) )[^ ]+){{1,{chain}}}(?= )"
+    follow = rf"(?<= )(?:{any_name})(?: (?!(?:{any_name}) )[^ ]+){{1,{chain}}}(?= )"
 
-    def finish(s: Column) -> Column:
-        chains = F.when(F.size(s["chains"]) >= FEW, s["chains"]).otherwise(
-            F.concat(s["chains"], F.regexp_extract_all(s["words"], F.lit("[^ ]+"), F.lit(0))))
-        chains = F.when(F.size(chains) > 0, chains).otherwise(F.array(own))
-        return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.shiftright(F.xxhash64(c), 32).cast("int"))))
+    def spotted(words: Column) -> Column:
+        """The chains, and the words that a text has besides them."""
+        alone = F.array_except(F.split(F.regexp_replace(words, follow, ""), " +"), F.array(F.lit(""), *[F.lit(w) for w in names]))
+        return F.concat(F.regexp_extract_all(words, F.lit(follow), F.lit(0)), alone)
 
-    held = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.regexp_extract_all(w, F.lit(follow), F.lit(0)).alias("chains")))
-    return F.transform(held, finish)[0]
+    def finish(found: Column) -> Column:
+        some = F.when(F.size(found) > 0, found).otherwise(F.array(own))
+        return F.array_sort(F.array_distinct(F.transform(some, lambda c: F.shiftright(F.xxhash64(c), 32).cast("int"))))
+
+    # one level of transform a step, so that no step is worked out twice
+    return F.transform(F.transform(F.transform(F.array(own), normalised), spotted), finish)[0]
 
 
 def as_text(sigs: Column) -> Column:

@@ -87,31 +87,77 @@ def test_signatures(spark):
     assert near.x == 0.5 and near.y == 0.0
 
 
-def test_similar_documents_are_those_of_all_pairs(spark, prose, edges, nothing):
-    texts = [prose(120, i) for i in range(20)]
-    for i in range(8):
-        words = texts[i].split()
-        for k in range(3):
-            texts.append(" ".join([*words[:30 + k], f"new{k}", *words[31 + k:]]))
-        texts.append(" ".join(words[:60]))
-    texts += [texts[0], "", None, " ", "one", "One"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
-    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    got = {r.id: r.component_id for r in simhash.similar_documents(rows).collect()}
-    assert [got[i] for i in range(len(texts))] == groups(len(texts), linked)
-    assert simhash.similar_documents(edges).count() == edges.count() and simhash.similar_documents(nothing).count() == 0
-
-
-def test_similar_documents_finds_appended_cut_and_replaced_copies(spark, prose):
-    texts = []
-    for i in range(30):
-        words = prose(400, 1000 + i).split()
-        other = prose(80, 2000 + i).split()
-        texts += [" ".join(w) for w in (words, words + other[:70], words[:340], words[:150] + other[:30] + words[180:])]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
-    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len({i for i, _ in linked}) == 90
-    got = {r.id: r.component_id for r in simhash.similar_documents(rows).collect()}
-    assert [got[i] for i in range(len(texts))] == groups(len(texts), linked)
+def plain_signatures(text, chain=2):
+    """What the signatures are hashes of."""
+    import re
+
+    anchors = {w for words in spotsigs.ANCHORS.values() for w in words}
+    words, found, i = re.sub(r"[\W_]+", " ", (text or "").lower()).split(), set(), 0
+    while i < len(words):
+        j = i + 1
+        if words[i] in anchors:
+            while j < len(words) and j <= i + chain and words[j] not in anchors:
+                j += 1
+        if j > i + 1 or words[i] not in anchors:
+            found.add(" ".join(words[i:j]))
+        i = j
+    return found or {text or ""}
+
+
+def test_signatures_are_chains_and_the_words_between(spark, prose):
+    texts = [prose(n, n) for n in (1, 2, 5, 12, 40, 300)] + ["", None, "?!", "der die das", "no anchor here", "the", "the end", "Of mice; and men, and of the of"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", spotsigs.signatures(F.col("text")).alias("sigs"))
+    got = {r.i: set(r.sigs) for r in rows.collect()}
+    flat = spark.createDataFrame([(i, s) for i, t in enumerate(texts) for s in plain_signatures(t)], "i long, s string")
+    want = {}
+    for r in flat.select("i", F.shiftright(F.xxhash64("s"), 32).cast("int").alias("h")).collect():
+        want.setdefault(r.i, set()).add(r.h)
+    assert got == want
+
+
+def test_one_chain_less_moves_a_likeness_by_its_share(spark):
+    chains = [f"the {x}alpha {x}beta" for x in "bcdfghkl"]
+    texts = [" of ".join(chains[:n]) for n in range(1, 9)]
+    for whole, less in zip(texts[1:], texts):
+        a, b = plain_signatures(whole), plain_signatures(less)
+        assert len(a & b) / len(a | b) >= 1 - 2 / len(a)
+
+
+def test_a_group_of_near_copies_is_not_paired(spark):
+    """Hundreds of fingerprints of one group share keys with each other and with few others."""
+    rnd, centre = random.Random(9), random.Random(10).getrandbits(64)
+    crowd = {centre}
+    while len(crowd) < 800:
+        x = rnd.choice(sorted(crowd)[:40])
+        for bit in rnd.sample(range(64), 2):
+            x ^= 1 << bit
+        crowd.add(x)
+    rows = [(simhash._signed(x), simhash._signed(x), 1) for x in sorted(crowd)]
+    far = simhash._signed(centre ^ (1 << 3) ^ (1 << 40))
+    rows = [r for r in rows if r[0] != far] + [(far, far, 2)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, grp long")
+    want = sum((far ^ r[0]) % (1 << 64) and ((far ^ r[0]) & (2**64 - 1)).bit_count() <= 4 for r in rows[:-1])
+    met = simhash._across(nodes, 4)
+    assert met.count() == want
+    alone = simhash._across(nodes.where("grp = 1"), 4)
+    assert alone.count() == 0
+    assert max(_join_rows(spark, alone), default=0) < 10_000
+
+
+def _join_rows(spark, df):
+    """Rows that each join of the executed plan has made."""
+    df.collect()
+    plan, found, todo = df._jdf.queryExecution().executedPlan(), [], []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name and "numOutputRows" in str(node.metrics().keySet()):
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
