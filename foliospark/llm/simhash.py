@@ -17,7 +17,6 @@ fingerprint, whose id is the smallest id in it, or null if no member has one. Ex
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -30,16 +29,11 @@ from foliospark.llm.common import by_batch, column, connected_components
 from foliospark.operators.shared import materialise
 
 SEED = 42
-AT_ONCE, TURNS = 1 << 16, 2
-#: At a Jaccard of 0.8 a tenth of the sketch's bits differ, 25.6 give or take 4.8; the bound is 3.4 deviations beyond.
-SKETCH_BITS, SKETCH_DIFFERS = 256, 42
-#: A pair at a Jaccard of 0.8 shares a band with probability 1 - (1 - 0.8 ** 6) ** 42. A turn of leaders takes one in ``LED`` bands.
-BANDS, BAND_ROWS, LED = 42, 6, 4
-MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=SKETCH_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+AT_ONCE = 1 << 16
 
 
-def simhash(data: bytes | None, shingle: int = 4, distinct: bool = False) -> int:
-    """The fingerprint of one text as an unsigned number; ``distinct`` counts every shingle once."""
+def simhash(data: bytes | None, shingle: int = 4) -> int:
+    """The fingerprint of one text as an unsigned number."""
     words = (data or b"").lower().split()
     if not words:
         return 0
@@ -50,25 +44,20 @@ def simhash(data: bytes | None, shingle: int = 4, distinct: bool = False) -> int
     first, last = starts[:n].tolist(), (ends[-n:] if len(words) >= shingle else ends[-1:]).tolist()
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     spans = zip(first, last)
-    if distinct:
-        once = {joined[x:y] for x, y in spans}
-        spans, n = (((0, len(w), w) for w in once)), len(once)
     for i in range(0, n, AT_ONCE):
-        part = islice(spans, AT_ONCE)
-        hashes = np.fromiter((digest(w, SEED) for _, _, w in part) if distinct else (digest(joined[x:y], SEED) for x, y in part), "<u8")
+        hashes = np.fromiter((digest(joined[x:y], SEED) for x, y in islice(spans, AT_ONCE)), "<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distinct: bool = False) -> DataFrame:
-    """``(id, h, fp)`` for each row: a hash of the text, and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """``(id, fp)`` for each row: the text's fingerprint as a signed long."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([simhash(x, shingle, distinct) for x in batch.column(2).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "h", "fp"])
+        found = np.array([simhash(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    return by_batch(rows, f"id {rows.schema['id'].dataType.simpleString()}, h long, fp long", one)
+    rows = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).cast("binary").alias("text"))
+    return by_batch(rows, f"id {rows.schema['id'].dataType.simpleString()}, fp long", one)
 
 
 def cuts(max_bits: int) -> list[tuple[int, int]]:
@@ -99,12 +88,6 @@ def _variants(fp: Column, max_bits: int, side: int) -> Column:
     return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))
 
 
-def _sketch_near(a: list[Column], b: list[Column]) -> Column:
-    """Whether two sketches, if there are any, differ in few enough bits."""
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
-    return differ <= SKETCH_DIFFERS if a else F.lit(True)
-
-
 def _leaders(nodes: DataFrame, max_bits: int, turn: int = 0) -> DataFrame:
     """``(a, b, ga, gb)``: nodes of ``nodes(node, fp, grp)`` and a leader of another group that is near.
 
@@ -117,21 +100,24 @@ def _leaders(nodes: DataFrame, max_bits: int, turn: int = 0) -> DataFrame:
         keys.append(F.struct(F.lit(s).alias("s"), own.alias("x"), F.lit(0).cast("long").alias("y")))
         for t in range(s + 1, len(at)):
             keys.append(F.struct(F.lit(100 * s + t + 100).alias("s"), own.alias("x"), _segment(F.col("fp"), *at[t]).alias("y")))
-    sketch = [c for c in nodes.columns if c.startswith("sketch")]
-    rows = nodes.select("node", "fp", "grp", *sketch, F.explode(F.array(*keys)).alias("key"))
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "fp", "grp", *sketch))
+    rows = nodes.select("node", "fp", "grp", F.explode(F.array(*keys)).alias("key"))
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "fp", "grp"))
     led = rows.groupBy("key").agg(first.alias("to"), F.count("*").alias("n")).where("n > 1")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= max_bits) & (F.col("grp") != F.col("to.grp"))
-    near = near & _sketch_near([F.col(c) for c in sketch], [F.col(f"to.{c}") for c in sketch])
     return rows.join(led, "key").where(near).select(
         F.col("node").alias("a"), F.col("to.node").alias("b"), F.col("grp").alias("ga"), F.col("to.grp").alias("gb")).distinct()
 
 
 def _across(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """``(a, b, ga, gb)``: pairs of ``nodes(node, fp, grp)`` that are near and in different groups; each pair is met once."""
-    sketch = [c for c in nodes.columns if c.startswith("sketch")]
-    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x"), F.col("grp").alias("ga"), *[F.col(c).alias(f"x{c}") for c in sketch], _variants(F.col("fp"), max_bits, 0).alias("key"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"), F.col("grp").alias("gb"), *[F.col(c).alias(f"y{c}") for c in sketch], _variants(F.col("fp"), max_bits, 1).alias("other"))
+    """``(a, b, ga, gb)``: pairs of ``nodes(node, fp, grp)`` that are near and in different groups; each pair is met once. Keys of
+    one group only, as a group of near copies has by the thousand, are left out before the join."""
+    left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x"), F.col("grp").alias("ga"), _variants(F.col("fp"), max_bits, 0).alias("key"))
+    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"), F.col("grp").alias("gb"), _variants(F.col("fp"), max_bits, 1).alias("key"))
+    ends = lambda side, grp: side.groupBy("key").agg(F.min(grp).alias("lo"), F.max(grp).alias("hi"))
+    other = ends(right, "gb").select("key", F.col("lo").alias("low"), F.col("hi").alias("high"))
+    mixed = ends(left, "ga").join(other, "key").where((F.col("lo") != F.col("hi")) | (F.col("low") != F.col("high")) | (F.col("lo") != F.col("low")))
+    mixed = materialise(mixed.select("key"))
+    left, right = left.join(mixed, "key", "left_semi"), right.join(mixed, "key", "left_semi").withColumnRenamed("key", "other")
     diff = F.col("x").bitwiseXOR(F.col("y"))
     segment = F.shiftright(F.col("key"), 56)
     once = F.lit(True)
@@ -140,7 +126,6 @@ def _across(nodes: DataFrame, max_bits: int) -> DataFrame:
         once = once & ((segment <= s) | (F.bit_count(diff.bitwiseAND(F.lit(mask))) >= 2))
     exact = F.shiftright(F.col("key"), 48).bitwiseAND(F.lit(255)) == 0
     met = (F.col("key") == F.col("other")) & (F.col("ga") != F.col("gb")) & (F.bit_count(diff) <= max_bits)
-    met = met & _sketch_near([F.col(f"x{c}") for c in sketch], [F.col(f"y{c}") for c in sketch])
     return left.join(right, met & once & (~exact | (F.col("a") < F.col("b")))).select("a", "b", "ga", "gb")
 
 
@@ -150,133 +135,19 @@ def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(roots, F.col("grp") == F.col("_n"), "left").withColumn("grp", F.coalesce("_root", "grp")).drop("_n", "_root"))
 
 
-def _classes(nodes: DataFrame, max_bits: int, alike: Callable[[DataFrame], DataFrame], turns: int) -> DataFrame:
-    """``nodes(node, fp, ...)`` with a ``grp`` that all nodes share which links connect; ``alike`` keeps the pairs that link."""
-    nodes = nodes.withColumn("grp", F.col("node"))
-    for turn in range(turns):
-        nodes = _merged(nodes, alike(_leaders(nodes, max_bits, turn)))
-    return _merged(nodes, alike(_across(nodes, max_bits)))
-
-
 def components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     """``(fp, low, root)`` for distinct fingerprints ``(fp, low)``: ``root`` is the same for all that links connect."""
-    nodes = fps.select(F.col("fp").alias("node"), "fp", "low")
-    return _classes(nodes, max_bits, lambda pairs: pairs, turns=1).select("fp", "low", F.col("grp").alias("root"))
+    nodes = fps.select(F.col("fp").alias("node"), "fp", "low", F.col("fp").alias("grp"))
+    nodes = _merged(nodes, _leaders(nodes, max_bits))
+    return _merged(nodes, _across(nodes, max_bits)).select("fp", "low", F.col("grp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
     """``(id, fp, component_id)`` for each row of ``docs``."""
-    each = materialise(fingerprints(docs, id_col, text_col, shingle).select("id", "fp"))
+    each = materialise(fingerprints(docs, id_col, text_col, shingle))
     fps = materialise(each.groupBy("fp").agg(F.min("id").alias("low")))
     rooted = components(fps, max_bits)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return each.join(named, "fp").select("id", "fp", "component_id")
-
-
-def shingle_set(data: bytes, words: int) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text."""
-    found = data.lower().split()
-    n = max(1, len(found) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i:i + words]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
-
-
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """``SKETCH_BITS`` min-hashes of a shingle set; two sets with Jaccard J agree in each with probability J."""
-    least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[i:i + 2048].view(np.uint64)[:, None] * MULTIPLIERS).min(axis=0))
-    return least
-
-
-def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each min-hash, as longs. Two sets with Jaccard J differ in (1 - J) / 2 of the bits."""
-    return np.packbits((least >> np.uint64(32)) & np.uint64(1) == 1, bitorder="little").view("<i8")
-
-
-def bands(least: np.ndarray) -> np.ndarray:
-    """A key for each of ``BANDS`` groups of ``BAND_ROWS`` min-hashes, which sets share if they agree in all of the group."""
-    return (least[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS) * MULTIPLIERS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(id, h, bands, sketch0, ...)``: of each text a hash, and the band keys and the sketch of its shingles."""
-    n = SKETCH_BITS // 64
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        least = [minima(shingle_set(x, words)) for x in batch.column(2).to_pylist()]
-        bits = np.array([sketch(x) for x in least]).reshape(-1, n)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bands(x) for x in least], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(n)]],
-                                          ["id", "h", "bands", *[f"sketch{i}" for i in range(n)]])
-
-    text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    kinds = ", ".join(f"sketch{i} long" for i in range(n))
-    return by_batch(rows, f"id {rows.schema['id'].dataType.simpleString()}, h long, bands array<bigint>, {kinds}", one)
-
-
-def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """``(node, band, key)``: the band keys of ``nodes(node, bands)`` that more than one node has."""
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    live = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(keys.join(live, ["band", "key"], "left_semi"))
-
-
-def _band_leaders(keys: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """``(a, b, ga, gb)``: nodes and the first node, in an order of ``turn``, that shares one of the turn's bands with them."""
-    bits = [c for c in nodes.columns if c.startswith("sketch")]
-    rows = keys.where(F.col("band") % LED == turn).join(nodes.select("node", "grp", *bits), "node")
-    led = rows.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "grp", *bits)).alias("to"))
-    near = (F.col("grp") != F.col("to.grp")) & _sketch_near([F.col(c) for c in bits], [F.col(f"to.{c}") for c in bits])
-    return rows.join(led, ["band", "key"]).where(near).select(
-        F.col("node").alias("a"), F.col("to.node").alias("b"), F.col("grp").alias("ga"), F.col("to.grp").alias("gb")).distinct()
-
-
-def _band_pairs(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b, ga, gb)``: all pairs of different groups that share a band and are near in the sketch; keys of one group only are not paired."""
-    bits = [c for c in nodes.columns if c.startswith("sketch")]
-    rows = keys.join(nodes.select("node", "grp", *bits), "node")
-    mixed = rows.groupBy("band", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
-    rows = materialise(rows.join(mixed, ["band", "key"], "left_semi").select("band", "key", "node", "grp", *bits))
-    left = rows.toDF("band", "key", "a", "ga", *[f"x{c}" for c in bits])
-    right = rows.toDF("band", "key", "b", "gb", *[f"y{c}" for c in bits])
-    near = _sketch_near([F.col(f"x{c}") for c in bits], [F.col(f"y{c}") for c in bits])
-    return left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & near).select("a", "b", "ga", "gb").distinct()
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose ``texts(h, text)`` share ``least`` of their shingles; only their texts are read into sets."""
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x or b"", words) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["h", "s"])
-
-    pairs = materialise(pairs)
-    wanted = pairs.select(F.col("a").alias("h")).distinct().union(pairs.select(F.col("b").alias("h")).distinct()).distinct()
-    own = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    sets = materialise(by_batch(own.select("h", F.col("text").cast("binary").alias("text")), "h long, s array<bigint>", one))
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    n, m, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    return met.where(both >= F.lit(least) * (n + m - both)).select(*pairs.columns)
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``(id, h, component_id)`` for each row: classes of texts that share ``least`` of their shingles of ``words`` words.
-
-    Candidates share one of ``BANDS`` bands of the min-hashes of their shingles, whatever the edit that parts them: at 0.8 three
-    pairs in a million share none. A sketch rules out pairs far from 0.8 inside the join (three in ten thousand at 0.8 itself), and
-    the shingle sets decide. A text is one node, however many rows have it, so copies are never paired; dense groups contract round
-    leaders before all pairs of different groups are met.
-    """
-    each = materialise(_sketched(docs, id_col, text_col, words))
-    texts = docs.select(F.xxhash64(F.coalesce(column(text_col), F.lit(""))).alias("h"), column(text_col).alias("text"))
-    bits = [c for c in each.columns if c.startswith("sketch")]
-    found = materialise(each.groupBy(F.col("h").alias("node")).agg(*[F.min(c).alias(c) for c in bits], F.first("bands").alias("bands"), F.min("id").alias("low")))
-    keys = _shared_keys(found)
-    nodes = found.drop("bands").withColumn("grp", F.col("node"))
-    for turn in range(TURNS):
-        nodes = _merged(nodes, _alike(_band_leaders(keys, nodes, turn), texts, words, least))
-    classed = _merged(nodes, _alike(_band_pairs(keys, nodes), texts, words, least))
-    lowest = classed.groupBy("grp").agg(F.min("low").alias("component_id"))
-    named = classed.join(lowest, "grp").select(F.col("node").alias("h"), "component_id")
-    return each.join(named, "h").select("id", "h", "component_id")
