@@ -17,7 +17,7 @@ from foliospark.llm import bpe, linededup, mixing, simhash, toxicity
 from foliospark.llm.common import column
 from foliospark.operators.shared import materialise
 
-TOXIC_SCORE = 0.7
+TOXIC_SCORE, SHINGLE, MAX_BITS = 0.7, 4, 4
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -52,8 +52,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that share four fifths of their five-word shingles the one with the smallest id stays, once."""
-    found = simhash.similar_documents(_keyed(docs), id_col="_key")
+    """Of each class of documents whose fingerprints link, the one with the smallest id stays, once."""
+    found = simhash.near_duplicates(_keyed(docs), id_col="_key", shingle=SHINGLE, max_bits=MAX_BITS)
     stays = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_key")).distinct()
     return _with(docs, stays, "left_semi").dropDuplicates(["doc_id", "text"])
 
@@ -69,8 +69,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of what they decode to."""
-    done = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, forms=("tokens", "n_tokens", "decoded"))
-    return done.select(F.col("id").alias("doc_id"), "n_tokens", "tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, forms=("n_tokens", "tokens", "decoded_sha256"))
+    return done.withColumnRenamed("id", "doc_id")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
