@@ -109,15 +109,9 @@ def _leaders(nodes: DataFrame, max_bits: int, turn: int = 0) -> DataFrame:
 
 
 def _across(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """``(a, b, ga, gb)``: pairs of ``nodes(node, fp, grp)`` that are near and in different groups; each pair is met once. Keys of
-    one group only, as a group of near copies has by the thousand, are left out before the join."""
+    """``(a, b, ga, gb)``: pairs of ``nodes(node, fp, grp)`` that are near and in different groups; each pair is met once."""
     left = nodes.select(F.col("node").alias("a"), F.col("fp").alias("x"), F.col("grp").alias("ga"), _variants(F.col("fp"), max_bits, 0).alias("key"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"), F.col("grp").alias("gb"), _variants(F.col("fp"), max_bits, 1).alias("key"))
-    ends = lambda side, grp: side.groupBy("key").agg(F.min(grp).alias("lo"), F.max(grp).alias("hi"))
-    other = ends(right, "gb").select("key", F.col("lo").alias("low"), F.col("hi").alias("high"))
-    mixed = ends(left, "ga").join(other, "key").where((F.col("lo") != F.col("hi")) | (F.col("low") != F.col("high")) | (F.col("lo") != F.col("low")))
-    mixed = materialise(mixed.select("key"))
-    left, right = left.join(mixed, "key", "left_semi"), right.join(mixed, "key", "left_semi").withColumnRenamed("key", "other")
+    right = nodes.select(F.col("node").alias("b"), F.col("fp").alias("y"), F.col("grp").alias("gb"), _variants(F.col("fp"), max_bits, 1).alias("other"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
     segment = F.shiftright(F.col("key"), 56)
     once = F.lit(True)
