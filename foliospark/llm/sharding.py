@@ -1,14 +1,14 @@
 """Sharding by sampled splitters: shards of near-equal size over records in key order.
 
-The key is a digest of the text, so equal texts stand side by side, then one of the id, then the id. A size-weighted
-sample of keys gives quantile boundaries, records fall into the ranges between them, exact sizes per range are summed,
-and ranges that hold more than twice their share (a text with many copies) are subdivided, by the digest of the id where
-one key fills them. A record's shard follows from the exact bytes before it, so sampling decides how work is dealt out
+The key is a digest of the text, so equal texts stand side by side, then one of the id, then the id. A record weighs its
+size and the mean size, so that many small records count as well as few large ones. A weighted sample of keys gives
+quantile boundaries, records fall into the ranges between them, exact weights per range are summed, and ranges that hold
+more than twice their share (a text with many copies) are subdivided, by the digest of the id where one key fills them. A record's shard follows from the exact bytes before it, so sampling decides how work is dealt out
 and never the result; a shard's size is off by no more than one record.
 
-Scale: the text is read once and leaves five numbers. Windows run inside a subrange, whose share of the bytes is bounded;
-offsets come from one row per subrange. Splitters number ``RANGE_ROWS`` records each and are found in a sample of
-``SAMPLE`` draws a range, in one aggregate.
+Scale: the text is read once and leaves five numbers. Windows run inside a subrange, whose share of the bytes and of the
+rows is bounded (a third of all rows may be empty); offsets come from one row per subrange. A range of its fair weight
+holds ``RANGE_ROWS`` records at most; splitters are found in a sample of ``SAMPLE`` draws a range, in one aggregate.
 
 Defined cases: a null text has no bytes and stands where the empty text stands. Rows that agree in text and id are
 interchangeable. A null id is an id of its own. An empty table has no shards. Extra columns are ignored.
@@ -40,10 +40,10 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def splitters(rows: DataFrame, total: int, n_ranges: int) -> list[int]:
-    """Quantile boundaries of a size-weighted sample; a key that fills several ranges is fenced in by itself."""
+def splitters(rows: DataFrame, mean: float, fair: float, n_ranges: int) -> list[int]:
+    """Quantile boundaries of a weighted sample; a key that fills several ranges is fenced in by itself."""
     even = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) / float(1 << 30)
-    draws = F.floor(F.col("size") * F.lit(n_ranges * SAMPLE / total) + even).cast("long")
+    draws = F.floor((F.col("size") + F.lit(mean)) * F.lit(SAMPLE / fair) + even).cast("long")
     sample = rows.select("k1", draws.alias("draws")).where("draws > 0")
     at = F.percentile("k1", F.array(*[F.lit(i / n_ranges) for i in range(1, n_ranges)]), F.col("draws"))
     found = [int(x) for x in sample.agg(at.alias("at")).first()["at"] or []]
@@ -66,25 +66,30 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda s: s["low"])
 
 
+def parted(rows: DataFrame, total: int, n: int, n_ranges: int) -> DataFrame:
+    """``rows`` with their ``range`` and, inside it, ``part``; in key order both, and neither far above its fair weight."""
+    mean, fair = total / max(n, 1), 2 * total / n_ranges
+    ranged = rows.withColumn("range", _range_of(F.col("k1"), splitters(rows, mean, fair, n_ranges)))
+    weight = F.sum("size") + F.count("*") * F.lit(mean)
+    held = ranged.groupBy("range").agg(weight.alias("held"), F.min("k1").alias("low"), F.max("k1").alias("high"))
+    held = held.select("range", "low", "high", F.when(F.col("held") > 2 * fair, F.ceil(F.col("held") / F.lit(fair))).otherwise(1).alias("parts"))
+    inside = F.when(F.col("low") == F.col("high"), F.col("k2") / float(1 << KEY_BITS)).otherwise(
+        (F.col("k1") - F.col("low")) / (F.col("high") - F.col("low") + 1))
+    return ranged.join(held, "range").withColumn("part", F.floor(inside * F.col("parts"))).drop("low", "high", "parts")
+
+
 def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``(id, size, crc, shard, slot)`` for each row of ``docs``."""
     rows = materialise(records(docs, id_col, text_col))
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 1
-    n_ranges = max(8 * n_shards, ceil(n / range_rows))
-    ranged = rows.withColumn("range", _range_of(F.col("k1"), splitters(rows, total, n_ranges)))
-    fair = total / n_ranges
-    held = ranged.groupBy("range").agg(F.sum("size").alias("held"), F.min("k1").alias("low"), F.max("k1").alias("high"))
-    held = held.select("range", "low", "high", F.when(F.col("held") > 2 * fair, F.ceil(F.col("held") / F.lit(fair))).otherwise(1).alias("parts"))
-    inside = F.when(F.col("low") == F.col("high"), F.col("k2") / float(1 << KEY_BITS)).otherwise(
-        (F.col("k1") - F.col("low")) / (F.col("high") - F.col("low") + 1))
-    parted = materialise(ranged.join(held, "range").withColumn("part", F.floor(inside * F.col("parts"))).drop("low", "high", "parts"))
-    sums = materialise(parted.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    dealt = materialise(parted(rows, total, n, max(8 * n_shards, ceil(2 * n / range_rows))))
+    sums = materialise(dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     sums = running(sums, [], ["range", "part"], {"bytes_to": "bytes", "rows_to": "rows"})
     offsets = sums.select("range", "part", (F.col("bytes_to") - F.col("bytes")).alias("bytes_at"), (F.col("rows_to") - F.col("rows")).alias("rows_at"))
     order = Window.partitionBy("range", "part").orderBy("k1", "k2", "id")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("bytes_at")
-    placed = parted.join(offsets, ["range", "part"]).select(
+    placed = dealt.join(offsets, ["range", "part"]).select(
         "id", "size", "crc", before.alias("before"), (F.row_number().over(order) - 1 + F.col("rows_at")).alias("at"))
     middle = F.expr(f"((2 * before + size) * {n_shards}L) div {2 * total}L")
     placed = materialise(placed.select("id", "size", "crc", "at", F.least(middle, F.lit(n_shards - 1)).cast("int").alias("shard")))

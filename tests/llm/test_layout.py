@@ -89,6 +89,18 @@ def test_shards_are_cut_from_the_order_of_keys(spark, edges, nothing, prose):
     assert len(odd) == edges.count() and sharding.shards(nothing).count() == 0
 
 
+def test_a_third_of_empty_rows_is_subdivided(spark, prose):
+    """Empty texts are a small part of the bytes, and a large one of the rows."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL ELSE repeat(concat(md5(cast(id AS string)), ' '), 20) END AS text")
+    rows = sharding.records(docs).cache()
+    total = rows.agg(F.sum("size")).first()[0]
+    groups = sharding.parted(rows, total, 6000, 120).groupBy("range", "part").agg(
+        F.count("*").alias("n"), F.sum("size").alias("held"), F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high"))
+    found = groups.orderBy("range", "part").collect()
+    assert sum(g.n for g in found) == 6000 and all(a.high <= b.low for a, b in zip(found, found[1:]))
+    assert max(g.n for g in found) <= 4 * 6000 / 60 and max(g.held for g in found) <= 4 * total / 60
+
+
 def test_shards_are_written_whole(spark, tmp_path, prose):
     docs = spark.createDataFrame([(i, prose(20, i), "x") for i in range(50)], "doc_id long, text string, size string")
     sharding.write_shards(docs, f"{tmp_path}/out", 3, files=2)
