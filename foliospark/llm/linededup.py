@@ -12,8 +12,8 @@ keys in enough documents lose all lines except in the document with the largest
 first; only those that may be frequent reach the exact table, whose answer alone decides. ``insert`` and ``delete`` touch
 the counts of the batch's own keys only, and a delete restores exactly what an insert did.
 
-Scale: a hot line is one key; its rows are counted map-side, salted over several tasks on their way through the filter
-and joined with a skew-splittable join. A filter holds a bounded number of keys, since the number of shards follows the
+Scale: a hot line is one key; its rows are counted map-side, salted on their way through the filter over as many groups
+as the postings of its shard ask for, and joined with a skew-splittable join. A filter holds a bounded number of keys, since the number of shards follows the
 number of frequent keys. Texts are moved once, to meet the keys they lose.
 
 Defined cases: null or empty text is one empty line. Rows with equal ids are one document. Rows without an id are one
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import SPACE, column, packed
-from foliospark.operators.shared import materialise
+from foliospark.operators.shared import materialise, small_side
 
 KEYS_PER_SHARD = 250_000
-SALTS = 8
+POSTINGS_PER_SALT = 250_000
 
 
 class CuckooFilter:
@@ -207,13 +207,16 @@ def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
 def _maybe_frequent(index: LineIndex, postings: DataFrame) -> DataFrame:
     """Postings whose key passes the filter of its shard.
 
-    Filters are sent ahead of the keys of their shard in one sorted stream, so a task holds one filter and one batch.
+    Filters are sent ahead of the keys of their shard in one sorted stream, so a task holds one filter and one batch. A shard
+    is salted by its own number of postings, so a group holds about ``POSTINGS_PER_SALT`` of them however hot a line is.
     """
     kind = postings.schema["id"].dataType.simpleString()
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    keys = postings.select(_shard(index.shards).alias("shard"), salt.alias("salt"), F.lit(1).alias("turn"), "id", "key", F.lit(None).cast("binary").alias("filter"))
-    ahead = index.filters.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("turn"),
+    sharded = postings.withColumn("shard", _shard(index.shards))
+    salts = small_side(sharded.groupBy("shard").agg((F.floor(F.count("*") / POSTINGS_PER_SALT) + 1).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    keys = sharded.join(salts, "shard").select("shard", salt.alias("salt"), F.lit(1).alias("turn"), "id", "key", F.lit(None).cast("binary").alias("filter"))
+    ahead = index.filters.join(salts, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"),
         F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("key"), "filter",
     )
     stream = keys.union(ahead).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "turn")

@@ -64,6 +64,13 @@ def test_line_dedup_is_brute_force(edges, nothing):
     assert linededup.apply(linededup.build(nothing), nothing).count() == 0
 
 
+def test_salts_follow_the_postings_of_a_shard(edges, monkeypatch):
+    whole = sorted(map(str, linededup.apply(linededup.build(edges), edges).collect()))
+    for postings in (1, 3):
+        monkeypatch.setattr(linededup, "POSTINGS_PER_SALT", postings)
+        assert sorted(map(str, linededup.apply(linededup.build(edges), edges).collect())) == whole
+
+
 def test_inserts_and_deletes_of_lines_are_reversible(spark):
     rnd = random.Random(4)
     lines = [f"line number {i} that several of the documents share" for i in range(30)]
