@@ -14,7 +14,8 @@ class PipelineConfig:
 
     ``n_clustering`` documents fit the encoders and the clustering; all others get their labels. ``n_classifier`` of those
     bound the labelled rows that the classifier search learns from. ``silhouette`` names the form of that score at every
-    size: ``squared`` is linear in the rows, ``euclidean`` is exact and quadratic.
+    size: ``squared`` is linear in the rows, ``euclidean`` is exact and quadratic. ``store`` is a shared folder that keeps
+    encodings and completed trials for later sessions.
     """
 
     cluster_mode: str = "abstract"
@@ -33,6 +34,7 @@ class PipelineConfig:
     silhouette: str = "squared"
     seed: int = 42
     parallelism: int = 4
+    store: str | None = None
 
     def __post_init__(self):
         for mode in (self.cluster_mode, self.class_mode):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from foliospark.functions import text as T
 from foliospark.operators import metrics as M
 from foliospark.operators.sampling import select_text, stratified_split
 from foliospark.operators.shared import running
+from foliospark.operators.stored import content_digest, keep, lookup
 
 FEATURES = 1 << 18
 #: Trees and the perceptron weigh every slot, so they see words hashed into fewer.
@@ -131,19 +133,42 @@ def trial_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], TRIAL_SCHEMA)
 
 
-def search(df: DataFrame, mode: str, label: str, n_trials: int = 24, fraction: float = 0.2, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """The trial table of a seeded search; split and features are made once and shared by all trials."""
+def search(df: DataFrame, mode: str, label: str, n_trials: int = 24, fraction: float = 0.2, seed: int = 42, parallelism: int = 4,
+           journal: str | None = None) -> DataFrame:
+    """The trial table of a seeded search; split and features are made once and shared by all trials.
+
+    With a ``journal``, a folder that all executors share, each completed trial is written as it ends, and a search over the
+    same rows finds it there: it fits only trials that are missing or failed. More trials go on from the earlier ones.
+    """
+    spark, trials = df.sparkSession, draw_trials(n_trials, seed)
     texts = select_text(df, mode, F.col(label).cast("double").alias("y"))
+    about = ("trial", content_digest(texts), fraction, seed, FEATURES, DENSE_FEATURES) if journal else ()
+    held = {t.trial_id: lookup(spark, journal, (*about, t)) for t in trials} if journal else {}
+    rows = [found.first().asDict() for found in held.values() if found is not None]
+    ended = {r["trial_id"] for r in rows}
+    missing = [t for t in trials if t.trial_id not in ended]
+
+    def record(t: Trial, row: dict) -> dict:
+        if journal and row["state"] == "COMPLETE":
+            keep(journal, (*about, t), trial_table(spark, [row]).coalesce(1))
+        return row
+
+    rows += _fitted_trials(texts, missing, fraction, seed, parallelism, record) if missing else []
+    return trial_table(spark, sorted(rows, key=lambda r: r["trial_id"]))
+
+
+def _fitted_trials(texts: DataFrame, trials: list[Trial], fraction: float, seed: int, parallelism: int,
+                   record: Callable[[Trial, dict], dict]) -> list[dict]:
     marked = stratified_split(texts, "y", fraction, "doc_id", seed).persist()
     num_labels = marked.agg(F.countDistinct("y")).first()[0]
     model = fit_features(marked.where("split = 'train'"))
     train = with_features(marked.where("split = 'train'"), model).persist()
     val = with_features(marked.where("split = 'val'"), model).persist()
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(lambda t: run_trial(train, val, t, num_labels, seed), draw_trials(n_trials, seed)))
+        rows = list(pool.map(lambda t: record(t, run_trial(train, val, t, num_labels, seed)), trials))
     for kept in (train, val, marked):
         kept.unpersist()
-    return trial_table(df.sparkSession, rows)
+    return rows
 
 
 def completed(trials: DataFrame) -> DataFrame:

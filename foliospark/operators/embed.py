@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.config import TEXT_MODES
@@ -19,6 +19,7 @@ from foliospark.functions import text as T
 from foliospark.functions.vectors import concat_views, l2_normalise
 from foliospark.operators.sampling import select_text
 from foliospark.operators.shared import materialise
+from foliospark.operators.stored import keep, lookup
 from foliospark.operators.subspace import WideModel, fit_wide
 
 HASH_DIM = 512
@@ -27,6 +28,8 @@ WORD_DIM = 48
 WORD_BUCKETS = 1 << 14
 WORD_TASKS = 8  # part of the model: Word2Vec averages what this many tasks learn
 MAX_TOKENS = 256
+#: What a stored vector depends on besides rows and settings.
+FORM = (HASH_DIM, PCA_DIM, WORD_DIM, WORD_BUCKETS, WORD_TASKS)
 
 
 def _words(text: Column) -> Column:
@@ -151,16 +154,25 @@ def mean_vectors(df: DataFrame, group: str, vec: str = "embedding") -> DataFrame
 
 @dataclass
 class EmbeddingStore:
-    """Encoded and persisted tables, reused by (source, split, mode, encoder, seed)."""
+    """Encoded tables, reused by a key of plain values: mode, encoder, seed and digests of the rows fitted and encoded.
 
+    Under ``root``, a folder that all executors share, they outlive the session; without one they are the session's scratch.
+    """
+
+    root: str | None = None
     kept: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         if key not in self.kept:
-            self.kept[key] = make().persist()
+            self.kept[key] = self._written(key, make)
         return self.kept[key]
 
+    def _written(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if self.root is None:
+            return materialise(make())
+        held = lookup(SparkSession.active(), self.root, key)
+        return keep(self.root, key, make()) if held is None else held
+
     def release(self) -> None:
-        for df in self.kept.values():
-            df.unpersist()
+        """Forget the tables; those under ``root`` stay."""
         self.kept.clear()

@@ -15,7 +15,7 @@ from foliospark.operators import profile as P
 from foliospark.operators import subspace, subwords
 from foliospark.operators.density import fit_density
 from foliospark.operators.sampling import label_encode, with_representations
-from foliospark.operators.shared import spread
+from foliospark.operators.shared import scratch_path, spread
 from foliospark.operators.sweep import fit_all
 from foliospark.plans.catalogue.registry import clean_papers, query, r6, sql_clean, sql_words, table
 from foliospark.plans.catalogue.vectors import embeddings
@@ -226,6 +226,16 @@ for _name in sorted(K.RATES):
     _classifier(_name)
 
 
+@query("resumed_search", "SELECT 2::BIGINT AS trials, 2::BIGINT AS kept, 2::BIGINT AS completed FROM documents HAVING count(*) > 0")
+def _(spark, sf_dir):
+    """A search that goes on from a journal gives the values of the trials that it does not fit again."""
+    rows, journal = _labelled(spark, sf_dir), scratch_path(spark)
+    first = K.search(rows, "abstract", "lang_enc", n_trials=2, journal=journal)
+    again = K.search(rows, "abstract", "lang_enc", n_trials=2, journal=journal).withColumnsRenamed({"value": "again", "state": "then"})
+    return first.join(again.select("trial_id", "again", "then"), "trial_id").agg(
+        F.count("*").alias("trials"), F.count_if(F.col("value") == F.col("again")).alias("kept"), F.count_if(F.col("then") == "COMPLETE").alias("completed"))
+
+
 @query("hyperparameter_search")
 def _(spark, sf_dir):
     return K.search(_labelled(spark, sf_dir), "abstract", "lang_enc", n_trials=6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from foliospark.operators import classify, cluster, embed, sampling
 from foliospark.operators.annotate import ENTITY_SCHEMA, annotate, capitalised_entities
 from foliospark.operators.profile import cluster_mix, cluster_purity
 from foliospark.operators.shared import materialise
+from foliospark.operators.stored import content_digest
 from foliospark.operators.triples import document_graphs
 
 
@@ -51,12 +53,16 @@ def run(records: DataFrame, cfg: PipelineConfig | None = None) -> Outcome:
     # an empty graph column would only add zeros to hybrid vectors
     docs = docs.drop("graph_text")
     to_cluster, to_classify = docs.where("split = 'cluster'"), docs.where("split = 'class'")
-    store = embed.EmbeddingStore()
-    encoders = {name: embed.fit_encoder(to_cluster, name, cfg.cluster_mode, cfg.seed) for name in cfg.encoders}
+    store = embed.EmbeddingStore(cfg.store)
+    digest = {split: content_digest(part) if cfg.store else "" for split, part in (("cluster", to_cluster), ("class", to_classify))}
+
+    @cache
+    def encoder(name: str) -> embed.FittedEncoder:  # fitted only if vectors of it are missing
+        return embed.fit_encoder(to_cluster, name, cfg.cluster_mode, cfg.seed)
 
     def vectors(name: str, part: DataFrame, split: str) -> DataFrame:
-        make = lambda: encoders[name].transform(part).join(part.select("doc_id", "top_category"), "doc_id")
-        return store.get(("docs", split, cfg.cluster_mode, name, cfg.seed), make)
+        make = lambda: encoder(name).transform(part).join(part.select("doc_id", "top_category"), "doc_id")
+        return store.get(("vectors", split, digest["cluster"], digest[split], cfg.cluster_mode, name, cfg.seed, embed.FORM), make)
 
     embedded = {name: vectors(name, to_cluster, "cluster") for name in cfg.encoders}
     comparison = cluster.compare(embedded, "top_category", cfg)
@@ -70,7 +76,7 @@ def run(records: DataFrame, cfg: PipelineConfig | None = None) -> Outcome:
     # the classifier may learn from a bounded sample of the labelled rows; every row has its cluster all the same
     taught = sampling.split_first_n(labelled, cfg.n_classifier, 0, seed=cfg.seed).select("doc_id", "cluster_id_enc")
     training = to_classify.join(taught, "doc_id")
-    trials = classify.search(training, cfg.class_mode, "cluster_id_enc", cfg.n_trials, cfg.validation_fraction, cfg.seed, cfg.parallelism)
+    trials = classify.search(training, cfg.class_mode, "cluster_id_enc", cfg.n_trials, cfg.validation_fraction, cfg.seed, cfg.parallelism, cfg.store)
     both = clustered.select("cluster_id", "top_category", F.lit("cluster").alias("split")).unionByName(
         assigned.select("cluster_id", "top_category", F.lit("class").alias("split")))
     named = both.withColumn("cluster_id", F.concat_ws(":", "split", "cluster_id"))
