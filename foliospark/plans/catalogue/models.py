@@ -228,10 +228,13 @@ for _name in sorted(K.RATES):
 
 @query("resumed_search", "SELECT 2::BIGINT AS trials, 2::BIGINT AS kept, 2::BIGINT AS completed FROM documents HAVING count(*) > 0")
 def _(spark, sf_dir):
-    """A search that goes on from a journal gives the values of the trials that it does not fit again."""
+    """A search that goes on from a journal gives the values of the trials that it does not fit again.
+
+    The seed is one whose first two draws are naive Bayes, the quickest model to fit.
+    """
     rows, journal = _labelled(spark, sf_dir), scratch_path(spark)
-    first = K.search(rows, "abstract", "lang_enc", n_trials=2, journal=journal)
-    again = K.search(rows, "abstract", "lang_enc", n_trials=2, journal=journal).withColumnsRenamed({"value": "again", "state": "then"})
+    first = K.search(rows, "abstract", "lang_enc", n_trials=2, seed=45, journal=journal)
+    again = K.search(rows, "abstract", "lang_enc", n_trials=2, seed=45, journal=journal).withColumnsRenamed({"value": "again", "state": "then"})
     return first.join(again.select("trial_id", "again", "then"), "trial_id").agg(
         F.count("*").alias("trials"), F.count_if(F.col("value") == F.col("again")).alias("kept"), F.count_if(F.col("then") == "COMPLETE").alias("completed"))
 
