@@ -4,7 +4,8 @@ Input tables: ``tokens(doc_id, sent_id, tok_id, head_id, text, lemma, pos, dep)`
 ``entities(doc_id, ent_idx, text, label)``; token numbers are unique inside a document and a root
 token is its own head. Children are not joined to their heads: each token sends what its head needs
 to the head's key and one grouping gathers it. All groupings share the hash partitioning on
-``doc_id``, so the whole extraction costs one shuffle of the tokens.
+``doc_id``, so the whole extraction costs one shuffle of the tokens; none if they are ``placed``, which
+says that they were made from documents dealt by ``doc_id`` (``shared.side_by_side``).
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ OBJECTS = ("dobj", "obj", "pobj")
 NOUNS = ("NOUN", "PROPN")
 
 
-def by_document(tokens: DataFrame) -> DataFrame:
-    return tokens.repartition("doc_id")
+def by_document(tokens: DataFrame, placed: bool = False) -> DataFrame:
+    return tokens if placed else tokens.repartition("doc_id")
 
 
-def token_phrases(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
+def token_phrases(tokens: DataFrame, wanted: Column | None = None, placed: bool = False) -> DataFrame:
     """Add ``phrase``: left compounds and modifiers, the token, right compounds, in text order.
 
     Only tokens that are ``wanted`` (all by default) get a row; others still lend their text.
@@ -42,7 +43,7 @@ def token_phrases(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
         F.when(left | right, F.struct(F.col("head_id").alias("to"), me.alias("part"), F.lit(None).cast(tokens.select(row).schema[0].dataType).alias("row"))),
     )
     gathered = (
-        by_document(tokens).select("doc_id", F.explode_outer(sends).alias("s")).where("s is not null")
+        by_document(tokens, placed).select("doc_id", F.explode_outer(sends).alias("s")).where("s is not null")
         .groupBy("doc_id", F.col("s.to").alias("tok_id"))
         .agg(F.sort_array(F.collect_list("s.part")).alias("parts"), F.max("s.row").alias("row"))
         .where("row is not null")
@@ -51,25 +52,25 @@ def token_phrases(tokens: DataFrame, wanted: Column | None = None) -> DataFrame:
     return gathered.select("doc_id", "tok_id", "row.*", phrase.alias("phrase"))
 
 
-def verb_arguments(tokens: DataFrame) -> DataFrame:
+def verb_arguments(tokens: DataFrame, placed: bool = False) -> DataFrame:
     """One row per verb: ``subj`` (last subject child), ``obj`` (last object child, else the first
     object of the last preposition that has one), ``relation`` (lower-case lemma)."""
     noun = F.col("pos").isin(*NOUNS)
     argument = noun & F.col("dep").isin(*SUBJECTS, *OBJECTS)
-    phrases = token_phrases(tokens, argument | (F.col("pos") == "VERB") | (F.col("dep") == "prep"))
-    placed = F.struct("tok_id", "phrase")
+    phrases = token_phrases(tokens, argument | (F.col("pos") == "VERB") | (F.col("dep") == "prep"), placed)
+    here = F.struct("tok_id", "phrase")
     # first hop: nouns report to their heads
     report = F.when(noun & (F.col("head_id") != F.col("tok_id")), F.struct(
         F.col("head_id").alias("to"),
         F.lit(None).cast("struct<sent_id:int,head_id:long,lemma:string,pos:string,dep:string>").alias("row"),
-        F.when(F.col("dep").isin(*SUBJECTS), placed).alias("subj"),
-        F.when(F.col("dep").isin(*OBJECTS), placed).alias("obj"),
-        F.when(F.col("dep") == "pobj", placed).alias("pobj"),
+        F.when(F.col("dep").isin(*SUBJECTS), here).alias("subj"),
+        F.when(F.col("dep").isin(*OBJECTS), here).alias("obj"),
+        F.when(F.col("dep") == "pobj", here).alias("pobj"),
     ))
     own_row = F.struct(
         F.col("sent_id").cast("int"), F.col("head_id").cast("long"), "lemma", "pos", "dep"
     ).cast("struct<sent_id:int,head_id:long,lemma:string,pos:string,dep:string>")
-    nothing = F.lit(None).cast(phrases.select(placed).schema[0].dataType)
+    nothing = F.lit(None).cast(phrases.select(here).schema[0].dataType)
     keep = F.when((F.col("pos") == "VERB") | (F.col("dep") == "prep"), F.struct(
         F.col("tok_id").alias("to"), own_row.alias("row"), nothing.alias("subj"), nothing.alias("obj"), nothing.alias("pobj"),
     ))
@@ -136,14 +137,14 @@ def graph_edges(arguments: DataFrame) -> DataFrame:
     )
 
 
-def document_graphs(tokens: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
+def document_graphs(tokens: DataFrame, entities: DataFrame, documents: DataFrame, placed: bool = False) -> DataFrame:
     """Per document ``nodes``, ordered ``triples`` and the prose built from them.
 
     Triples follow the first insertion of their source node, then of the edge. A document without
     text gives '' and one without tokens the prose of an empty graph.
     """
     # nodes and edges both start from the verbs: a small table next to the tokens
-    arguments = materialise(verb_arguments(tokens))
+    arguments = materialise(verb_arguments(tokens, **({"placed": True} if placed else {})))
     nodes = graph_nodes(arguments, entities).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "node"))).alias("placed")
     )

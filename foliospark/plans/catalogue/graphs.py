@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import triples as E
-from foliospark.operators.shared import spread
+from foliospark.operators.shared import side_by_side, spread
 from foliospark.plans.catalogue.registry import WS, papers, query, sql_words, table
 
 # ---- graph texts: the words of a document, taken by threes, as its triples ---------------------
@@ -90,7 +90,7 @@ def _(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = side_by_side(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     words = (
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
         .select("doc_id", "sent_id", F.posexplode(F.split("line", " ")).alias("i", "text"))
@@ -161,17 +161,17 @@ edges AS (SELECT doc_id, subj AS src, obj AS dst, arg_max(relation, tok_id) AS r
 
 @query("token_phrases", f"WITH {_TOKENS} SELECT doc_id, tok_id, phrase FROM phrases")
 def _(spark, sf_dir):
-    return E.token_phrases(_tokens(spark, sf_dir)).select("doc_id", "tok_id", "phrase")
+    return E.token_phrases(_tokens(spark, sf_dir), placed=True).select("doc_id", "tok_id", "phrase")
 
 
 @query("verb_arguments", f"WITH {_TOKENS} SELECT * FROM args")
 def _(spark, sf_dir):
-    return E.verb_arguments(_tokens(spark, sf_dir))
+    return E.verb_arguments(_tokens(spark, sf_dir), placed=True)
 
 
 @query("graph_nodes", f"WITH {_TOKENS} SELECT doc_id, node, type FROM nodes")
 def _(spark, sf_dir):
-    args = E.verb_arguments(_tokens(spark, sf_dir))
+    args = E.verb_arguments(_tokens(spark, sf_dir), placed=True)
     return E.graph_nodes(args, _entities(spark, sf_dir)).select("doc_id", "node", "type")
 
 
@@ -179,7 +179,7 @@ def _(spark, sf_dir):
 SELECT e.*, s.sentence FROM edges e JOIN s ON e.doc_id = s.doc_id AND e.sent_id = s.sent_id""")
 def _(spark, sf_dir):
     tokens = _tokens(spark, sf_dir)
-    return E.with_sentences(E.graph_edges(E.verb_arguments(tokens)), tokens)
+    return E.with_sentences(E.graph_edges(E.verb_arguments(tokens, placed=True)), tokens)
 
 
 # Fixed values in the SQL below: the frame of the prose and its relation words.
@@ -193,5 +193,5 @@ SELECT d.doc_id, CASE WHEN text = '' THEN '' ELSE concat('This work discusses th
   '. The analysis reveals several relationships among them. ', coalesce(block, '')) END AS prose
 FROM documents d LEFT JOIN nt ON d.doc_id = nt.doc_id LEFT JOIN et ON d.doc_id = et.doc_id""")
 def _(spark, sf_dir):
-    graphs = E.document_graphs(_tokens(spark, sf_dir), _entities(spark, sf_dir), papers(spark, sf_dir))
+    graphs = E.document_graphs(_tokens(spark, sf_dir), _entities(spark, sf_dir), papers(spark, sf_dir), placed=True)
     return graphs.select("doc_id", "prose")
