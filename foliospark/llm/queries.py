@@ -158,14 +158,17 @@ def neighbours_by_id(docs: DataFrame) -> DataFrame:
 
 @query("op1_spotsigs")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one key, without nulls, for both joins and the grouping, so that neither the texts nor what is lent cross a second shuffle
+    key = lambda c: (F.coalesce(c, F.lit(0)), F.col(c).isNull())
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    near = materialise(neighbours_by_id(docs))
-    lent = docs.join(near.select(F.col("next_id").alias("i"), F.col("next_h").alias("j"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), "k"),
-                     F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
-    lent = lent.select("to_id", "to_h", "k", F.expr("substring(text, 1, k)").alias("head"), spotsigs.signatures(F.col("text")).alias("next_sigs"))
-    lent = lent.groupBy("to_id", "to_h").agg(F.first("k").alias("k"), F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))
-    met = docs.join(lent, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    near = materialise(neighbours_by_id(rows)).select(*key("next_id"), "next_h", *key("id"), "h", "k").toDF("key", "none", "h", "to_key", "to_none", "to_h", "k")
+    docs = rows.select(*key("id"), "h", "text").toDF("key", "none", "h", "text")
+    lent = docs.join(near, ["key", "none", "h"]).select(
+        "to_key", "to_none", "to_h", "k", F.expr("substring(text, 1, k)").alias("head"), spotsigs.signatures(F.col("text")).alias("next_sigs"))
+    lent = lent.groupBy("to_key", "to_none", "to_h").agg(F.first("k").alias("k"), F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))
+    met = docs.join(lent, (F.col("key") == F.col("to_key")) & (F.col("none") == F.col("to_none")) & (F.col("h") == F.col("to_h")))
+    met = met.withColumn("id", F.when(~F.col("none"), F.col("key")))
     n = F.length("text")
     edited = met.select("id", n.cast("long").alias("n_chars"), "next_sigs", "text", F.concat(F.substring("text", F.lit(1), n - F.col("k")), "head").alias("edited"))
     done = edited.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.signatures(F.col("text")).alias("sigs"),
