@@ -10,7 +10,7 @@ says that they were made from documents dealt by ``doc_id`` (``shared.side_by_si
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
@@ -22,34 +22,38 @@ RIGHT_PARTS = ("compound",)
 SUBJECTS = ("nsubj", "nsubjpass")
 OBJECTS = ("dobj", "obj", "pobj")
 NOUNS = ("NOUN", "PROPN")
+# Columns of a token that come along with its phrase.
+ROW = ("sent_id", "head_id", "text", "lemma", "pos", "dep")
 
 
 def by_document(tokens: DataFrame, placed: bool = False) -> DataFrame:
     return tokens if placed else tokens.repartition("doc_id")
 
 
-def token_phrases(tokens: DataFrame, wanted: Column | None = None, placed: bool = False) -> DataFrame:
+def token_phrases(tokens: DataFrame, wanted: Column | None = None, placed: bool = False, keep: tuple[str, ...] = ROW) -> DataFrame:
     """Add ``phrase``: left compounds and modifiers, the token, right compounds, in text order.
 
-    Only tokens that are ``wanted`` (all by default) get a row; others still lend their text.
+    Only tokens that are ``wanted`` (all by default) get a row; others still lend their text. ``keep`` names the columns that
+    come along; of rows with the same number the largest is kept.
     """
     wanted = F.lit(True) if wanted is None else wanted
-    me = F.struct("tok_id", "text")
     left = F.col("dep").isin(*LEFT_PARTS) & (F.col("tok_id") < F.col("head_id"))
     right = F.col("dep").isin(*RIGHT_PARTS) & (F.col("tok_id") > F.col("head_id"))
-    row = F.struct("sent_id", "head_id", "text", "lemma", "pos", "dep")
     sends = F.array(
-        F.when(wanted, F.struct(F.col("tok_id").alias("to"), me.alias("part"), row.alias("row"))),
-        F.when(left | right, F.struct(F.col("head_id").alias("to"), me.alias("part"), F.lit(None).cast(tokens.select(row).schema[0].dataType).alias("row"))),
+        F.when(wanted, F.struct(F.col("tok_id").alias("to"), F.lit(True).alias("own"))),
+        F.when(left | right, F.struct(F.col("head_id").alias("to"), F.lit(False).alias("own"))),
     )
-    gathered = (
-        by_document(tokens, placed).select("doc_id", F.explode_outer(sends).alias("s")).where("s is not null")
-        .groupBy("doc_id", F.col("s.to").alias("tok_id"))
-        .agg(F.sort_array(F.collect_list("s.part")).alias("parts"), F.max("s.row").alias("row"))
-        .where("row is not null")
+    others = [c for c in keep if c != "text"]
+    sent = by_document(tokens, placed).withColumn("s", F.explode_outer(sends)).where("s is not null").select(
+        "doc_id", "s.to", "s.own", "tok_id", "text", *[F.when(F.col("s.own"), F.col(c)).alias(c) for c in others])
+    # Groups are one or two rows: a window reads them off the sorted rows, where a grouping keeps an object for each. Narrow rows matter.
+    own_first = Window.partitionBy("doc_id", "to").orderBy(F.desc("own"), *[F.desc(c) for c in ROW if c in keep or (keep and c == "text")])
+    parts = F.collect_list(F.struct("tok_id", "text")).over(own_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    phrase = F.trim(F.array_join(F.transform(F.sort_array("parts"), lambda p: p["text"]), " "))
+    return (
+        sent.select("doc_id", F.col("to").alias("tok_id"), "own", *keep, F.row_number().over(own_first).alias("nth"), parts.alias("parts"))
+        .where("nth = 1 and own").select("doc_id", "tok_id", *keep, phrase.alias("phrase"))
     )
-    phrase = F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), " "))
-    return gathered.select("doc_id", "tok_id", "row.*", phrase.alias("phrase"))
 
 
 def verb_arguments(tokens: DataFrame, placed: bool = False) -> DataFrame:
@@ -57,7 +61,7 @@ def verb_arguments(tokens: DataFrame, placed: bool = False) -> DataFrame:
     object of the last preposition that has one), ``relation`` (lower-case lemma)."""
     noun = F.col("pos").isin(*NOUNS)
     argument = noun & F.col("dep").isin(*SUBJECTS, *OBJECTS)
-    phrases = token_phrases(tokens, argument | (F.col("pos") == "VERB") | (F.col("dep") == "prep"), placed)
+    phrases = token_phrases(tokens, argument | (F.col("pos") == "VERB") | (F.col("dep") == "prep"), placed, tuple(c for c in ROW if c != "text"))
     here = F.struct("tok_id", "phrase")
     # first hop: nouns report to their heads
     report = F.when(noun & (F.col("head_id") != F.col("tok_id")), F.struct(

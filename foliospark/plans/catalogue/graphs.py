@@ -161,7 +161,7 @@ edges AS (SELECT doc_id, subj AS src, obj AS dst, arg_max(relation, tok_id) AS r
 
 @query("token_phrases", f"WITH {_TOKENS} SELECT doc_id, tok_id, phrase FROM phrases")
 def _(spark, sf_dir):
-    return E.token_phrases(_tokens(spark, sf_dir), placed=True).select("doc_id", "tok_id", "phrase")
+    return E.token_phrases(_tokens(spark, sf_dir), placed=True, keep=()).select("doc_id", "tok_id", "phrase")
 
 
 @query("verb_arguments", f"WITH {_TOKENS} SELECT * FROM args")
