@@ -149,26 +149,21 @@ def document_graphs(tokens: DataFrame, entities: DataFrame, documents: DataFrame
     """
     # nodes and edges both start from the verbs: a small table next to the tokens
     arguments = materialise(verb_arguments(tokens, **({"placed": True} if placed else {})))
-    nodes = graph_nodes(arguments, entities).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "node"))).alias("placed")
-    )
-    edges = graph_edges(arguments).groupBy("doc_id").agg(
-        F.collect_list(F.struct("src", "dst", "relation", "ord")).alias("edges")
-    )
-    node_names = F.transform("placed", lambda p: p["node"])
-    by_source = F.map_from_entries(F.transform("placed", lambda p: F.struct(p["node"], p["ord"])))
-    ordered = F.array_sort(F.transform(
-        "edges", lambda e: F.struct(F.col("place")[e["src"]].alias("a"), e["ord"].alias("b"), F.struct(e["src"].alias("s"), e["relation"].alias("r"), e["dst"].alias("o")).alias("t"))
-    ))
-    empty = F.lit(None).cast("array<struct<s:string,r:string,o:string>>")
-    graphs = nodes.join(edges, "doc_id", "left").withColumn("place", by_source).select(
-        "doc_id", node_names.alias("nodes"),
-        F.when(F.col("edges").isNotNull(), F.transform(ordered, lambda x: x["t"])).otherwise(empty).alias("triples"),
+    # an edge finds the place of its source in the window over node names; looking it up in a map per document is quadratic
+    triple = F.struct(F.col("src").alias("s"), F.col("relation").alias("r"), F.col("dst").alias("o"))
+    nodes = graph_nodes(arguments, entities).select("doc_id", "node", F.struct("ord", "node").alias("placed"))
+    edges = graph_edges(arguments).select("doc_id", F.col("src").alias("node"), F.struct(F.col("ord").alias("b"), triple.alias("t")).alias("edge"))
+    place = F.max("placed.ord").over(Window.partitionBy("doc_id", "node"))
+    graphs = (
+        nodes.unionByName(edges, allowMissingColumns=True).repartition("doc_id")
+        .select("doc_id", "placed", F.when(F.col("edge").isNotNull(), F.struct(place.alias("a"), F.col("edge.b").alias("b"), F.col("edge.t").alias("t"))).alias("edge"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list("placed")).alias("placed"), F.sort_array(F.collect_list("edge")).alias("edges"))
+        .select("doc_id", F.transform("placed", lambda p: p["node"]).alias("nodes"), F.transform("edges", lambda e: e["t"]).alias("triples"))
     )
     text = F.coalesce(T.newlines_to_spaces(F.col("abstract")), F.lit(""))
     nodes_or_none = F.coalesce("nodes", F.array().cast("array<string>"))
     triples_or_none = F.coalesce("triples", F.array().cast("array<struct<s:string,r:string,o:string>>"))
-    return documents.select("doc_id", "abstract").join(graphs, "doc_id", "left").select(
+    return documents.select("doc_id", (text == "").alias("blank")).join(graphs, "doc_id", "left").select(
         "doc_id", nodes_or_none.alias("nodes"), triples_or_none.alias("triples"),
-        F.when(text == "", "").otherwise(T.graph_prose(nodes_or_none, triples_or_none)).alias("prose"),
+        F.when(F.col("blank"), "").otherwise(T.graph_prose(nodes_or_none, triples_or_none)).alias("prose"),
     )
