@@ -3,7 +3,7 @@
 Input tables: ``tokens(doc_id, sent_id, tok_id, head_id, text, lemma, pos, dep)`` and
 ``entities(doc_id, ent_idx, text, label)``; token numbers are unique inside a document and a root
 token is its own head. Children are not joined to their heads: each token sends what its head needs
-to the head's key and one grouping gathers it. All groupings share the hash partitioning on
+to the head's key and one window or grouping gathers it. All of them share the hash partitioning on
 ``doc_id``, so the whole extraction costs one shuffle of the tokens; none if they are ``placed``, which
 says that they were made from documents dealt by ``doc_id`` (``shared.side_by_side``).
 """
