@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import by_batch, column, connected_components
-from foliospark.operators.shared import materialise
+from foliospark.operators.shared import materialise, shuffled
 
 SEED = 42
 AT_ONCE = 1 << 16
@@ -104,7 +104,7 @@ def _leaders(nodes: DataFrame, max_bits: int, turn: int = 0) -> DataFrame:
     first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "fp", "grp"))
     led = rows.groupBy("key").agg(first.alias("to"), F.count("*").alias("n")).where("n > 1")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= max_bits) & (F.col("grp") != F.col("to.grp"))
-    return rows.join(led, "key").where(near).select(
+    return shuffled(rows).join(led, "key").where(near).select(
         F.col("node").alias("a"), F.col("to.node").alias("b"), F.col("grp").alias("ga"), F.col("to.grp").alias("gb")).distinct()
 
 
@@ -120,7 +120,7 @@ def _across(nodes: DataFrame, max_bits: int) -> DataFrame:
         once = once & ((segment <= s) | (F.bit_count(diff.bitwiseAND(F.lit(mask))) >= 2))
     exact = F.shiftright(F.col("key"), 48).bitwiseAND(F.lit(255)) == 0
     met = (F.col("key") == F.col("other")) & (F.col("ga") != F.col("gb")) & (F.bit_count(diff) <= max_bits)
-    return left.join(right, met & once & (~exact | (F.col("a") < F.col("b")))).select("a", "b", "ga", "gb")
+    return shuffled(left).join(right, met & once & (~exact | (F.col("a") < F.col("b")))).select("a", "b", "ga", "gb")
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
