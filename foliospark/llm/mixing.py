@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import WORD, column, n_words
-from foliospark.operators.shared import materialise, running
+from foliospark.operators.shared import materialise, running, shuffled
 
 BLOCK_WORDS, SHARD_SLOTS, MAX_EPOCHS, WALKS = 64, 1024, 3, 24
 
@@ -114,7 +114,7 @@ def pieces(mixed: Mix) -> DataFrame:
 def taken(mixed: Mix) -> DataFrame:
     """``(id, key, size, taken)`` for each document: the words the mix takes, repeats counted."""
     uses = mixed.slots.groupBy("key", "block").agg(F.count("*").alias("uses"))
-    per = pieces(mixed).join(uses, ["key", "block"]).groupBy("key", "end").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    per = shuffled(pieces(mixed)).join(uses, ["key", "block"]).groupBy("key", "end").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     per = per.select(F.col("key").alias("_key"), F.col("end").alias("_end"), "taken")
     rows = mixed.rows.join(per, (F.col("key") == F.col("_key")) & (F.col("end") == F.col("_end")) & (F.col("size") > 0), "left")
     return rows.select("id", "key", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.llm import simhash
+from foliospark.llm import mixing, simhash
 from foliospark.operators.shared import materialise
 
 
@@ -21,3 +21,12 @@ def test_exploded_keys_of_fingerprints_are_not_broadcast(spark):
 def test_links_are_found_by_the_shuffled_joins(spark):
     fps = spark.createDataFrame([(0, 0, 0), (1, 0b1111, 1), (2, -1, 2)], "node long, fp long, grp long")
     assert [(r.a, r.b) for r in simhash._across(fps, 4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).collect()] == [(0, 1)]
+
+
+def test_pieces_of_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, "a b c d e " * 40, "x") for i in range(20)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    taken = mixing.taken(mixed)
+    joins = [x for x in _plan(taken).split("\n") if "BroadcastHashJoin" in x and "block#" in x]
+    assert not joins
+    assert taken.count() == 20 and taken.agg(F.sum("taken")).first()[0] > 0
