@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import column
-from foliospark.operators.shared import materialise
+from foliospark.operators.shared import materialise, shuffled
 
 TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, HELD = 8, 1 / 8, 4096, 8192, 200_000
 FOUND = "query long, id long, score double"
@@ -171,7 +171,7 @@ def _search(base: DataFrame, asked: DataFrame, d: int, k: int, n: int, tables: i
     index = _blocks(base.repartition(n // BLOCK_ROWS + 1), d, tables, lambda unit, t: buckets(unit, t, hashes, seed)[:, None])
     looked = _blocks(asked.repartition(n // (50 * BLOCK_ROWS) + 1), d, tables, lambda unit, t: probes(unit, t, hashes, seed, share))
     looked = looked.select("t", "bucket", F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
-    met = index.join(looked, ["t", "bucket"]).select("ids", "vecs", "query_ids", "query_vecs")
+    met = shuffled(index).join(shuffled(looked), ["t", "bucket"]).select("ids", "vecs", "query_ids", "query_vecs")
     best = _scored(met, d, k).groupBy("query", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.llm import mixing, simhash
+from foliospark.llm import ann, mixing, simhash
 from foliospark.operators.shared import materialise
 
 
@@ -30,3 +30,11 @@ def test_pieces_of_documents_are_not_broadcast(spark):
     joins = [x for x in _plan(taken).split("\n") if "BroadcastHashJoin" in x and "block#" in x]
     assert not joins
     assert taken.count() == 20 and taken.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_blocks_of_queries_are_not_broadcast(spark):
+    rows = spark.range(60).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i + 1)).alias("v"))
+    found = ann._search(rows, rows.where("id < 5"), 8, 3, 60, 2, 1.0, 42)
+    assert "Join" in _plan(found)
+    assert "Broadcast" not in _plan(found)
+    assert found.groupBy("query").count().where("count = 3").count() == 5
